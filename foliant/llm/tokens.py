@@ -14,7 +14,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Words kept in a worker before it starts anew: bounds a worker's memory.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 600_000
 
 
 def _bytes_to_chars() -> dict[int, str]:
