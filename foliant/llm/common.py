@@ -70,6 +70,18 @@ def running_totals(df: DataFrame, order: list[str], totals: dict[str, Column]) -
     )
 
 
+def group_of_equal(rows: DataFrame, key: str, id_column: str, name: str, salts: int = 16) -> DataFrame:
+    """`rows` with `name`, the least id among the rows of the same key. Ids aren't null.
+
+    Ids of one key are combined before they are shuffled. Only keys that repeat are joined back, once for each salt, so
+    that a hot key's rows are dealt over several tasks.
+    """
+    groups = rows.groupBy(key).agg(F.min(id_column).alias(name), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = rows.withColumn("_salt", F.pmod(F.xxhash64(id_column), F.lit(salts)).cast("int"))
+    return own.join(salted, [key, "_salt"], "left").drop("_salt").withColumn(name, F.coalesce(name, id_column))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for every node of `edges` (a, b), component being the smallest node that can be reached.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, write_table
+from .common import group_of_equal, running_totals, write_table
 
 #: Capacities tried in a round.
 PROBES = 31
@@ -49,10 +49,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     even share makes its shard that large and no larger.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = write_table(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text_md5")), "sized")
-    groups = rows.groupBy("text_md5").agg(F.min("doc_id").alias("group_id"), F.sum("size").alias("bytes"))
-    groups = write_table(groups, "groups")
-    sums = running_totals(groups.drop("text_md5"), ["group_id"], {"before": F.col("bytes")}).select("group_id", F.col("bytes").alias("size"), (F.col("before") + F.col("bytes")).alias("upto"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text_md5"))
+    rows = write_table(group_of_equal(rows, "text_md5", "doc_id", "group_id").drop("text_md5"), "grouped")
+    groups = rows.groupBy("group_id").agg(F.sum("size").alias("bytes"))
+    sums = running_totals(groups, ["group_id"], {"before": F.col("bytes")}).select("group_id", F.col("bytes").alias("size"), (F.col("before") + F.col("bytes")).alias("upto"))
     sums = write_table(sums, "sums")
     total, largest = sums.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     ends = smallest_capacity(sums, shards, total, largest)[1] if total else []
@@ -61,7 +61,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     shard = F.lit(0)
     for last in lasts:  # as many as there are shards, less one
         shard += (F.col("group_id") > last).cast("int")
-    placed = rows.join(groups.select("text_md5", "group_id"), "text_md5").select("doc_id", "size", "text_crc32", "group_id").withColumn("shard", shard)
+    placed = rows.withColumn("shard", shard)
     numbered = running_totals(placed, ["group_id", "doc_id"], {"place": F.lit(1)})
     counts = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
     first = F.lit(0)
