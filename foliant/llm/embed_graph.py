@@ -181,7 +181,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     def build(p: pd.DataFrame) -> pd.DataFrame:
         rep = p["rep"].to_numpy()
         lists = prune(unit(np.stack(p["embedding"].to_numpy()))) if len(p) > 1 else []
-        return pd.DataFrame({"rep": rep[: len(lists)], "near": [rep[x] for x in lists]})
+        return pd.DataFrame({"rep": rep[: len(lists)], "near": pd.Series([rep[x] for x in lists], dtype=object)})
 
     graph = shards.groupBy(*by).applyInPandas(build, "rep long, near array<long>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = write_table(graph, "graph")
@@ -238,7 +238,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
 
     found = shards.join(graph, "rep", "left").groupBy(*by).applyInPandas(find, "rep long, n long, head long")
     found = write_table(found, "found")
-    degrees = found.groupBy("rep").agg(F.sum("n").alias("n"), F.max("rep"))
+    degrees = found.groupBy("rep").agg(F.sum("n").alias("n"))
     return classes, degrees.select("rep", "n"), found.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
 
 

@@ -87,7 +87,7 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """A row for each piece of `docs` (doc_id, text; other columns are left alone), with its ids and its place.
 
-    A null text counts as empty: its document is the end id alone. Rows that repeat a doc_id are packed each. No rows: no
+    A null text counts as empty: its document is the end id alone. Rows that repeat a doc_id, or have none, are packed each. No rows: no
     pieces. Tasks share nothing and nothing is shuffled; a task that is run again packs its input split the same way. A
     sequence is at most `capacity` long; only the last one of a task is shorter than the classes' rounding.
     """
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
 
         def out() -> pa.RecordBatch:
             doc, start, length, ids, total, seq, offset = zip(*packer.take())
-            return pa.RecordBatch.from_arrays([pa.array(np.array(doc, "i8")), pa.array(np.array(start, "i8")), pa.array(np.array(length, "i8")), pa.array(ids, pa.binary()), pa.array(np.array(total, "i8")), pa.array(np.array(seq, "i8")), pa.array(np.array(offset, "i8"))], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.array(start, "i8")), pa.array(np.array(length, "i8")), pa.array(ids, pa.binary()), pa.array(np.array(total, "i8")), pa.array(np.array(seq, "i8")), pa.array(np.array(offset, "i8"))], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -45,7 +45,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, group_id, shard, slot) of all rows of `docs` (doc_id unique, text; others are left alone).
 
     size: UTF-8 bytes and 1. A null text is an empty one, and all equal texts are in one shard; group_id is the least
-    doc_id of a text. slot counts a shard's rows from 0 by (group_id, doc_id). No rows: no rows. A group larger than an
+    doc_id of a text (null, which comes first, if no row of the text has an id). slot counts a shard's rows from 0 by (group_id, doc_id). No rows: no rows. A group larger than an
     even share makes its shard that large and no larger.
     """
     text = F.coalesce("text", F.lit(""))
@@ -60,7 +60,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     lasts = [r.group_id for r in sums.where(F.col("upto").isin(inner)).select("group_id").orderBy("group_id").collect()] if inner else []
     shard = F.lit(0)
     for last in lasts:  # as many as there are shards, less one
-        shard += (F.col("group_id") > last).cast("int")
+        shard += F.coalesce(F.col("group_id") > last, F.lit(False)).cast("int") if last is not None else F.col("group_id").isNotNull().cast("int")
     placed = rows.withColumn("shard", shard)
     numbered = running_totals(placed, ["group_id", "doc_id"], {"place": F.lit(1)})
     counts = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}

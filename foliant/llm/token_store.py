@@ -28,6 +28,8 @@ from .tokens import ids_of
 DICTIONARY_DOCS, DICTIONARY_BYTES, LEVEL = 600, 64 << 10, 3
 #: Compressed bytes that a shard holds, about.
 SHARD_BYTES = 32 << 20
+#: Stands in the index for a null doc_id; Spark sorts nulls first, where the least number belongs.
+NO_ID = -(1 << 63)
 INDEX = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("size", "<i8"), ("n_tokens", "<i8")])
 
 
@@ -72,7 +74,8 @@ def _put(store: fs.FileSystem, path: str, data: bytes) -> None:
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Encode and store `docs` (doc_id, text; other columns are left alone). Gives the manifest: a row for each shard.
 
-    Null texts count as empty; every document gets end_id. Rows that repeat a doc_id are stored each. No rows: no shards.
+    Null texts count as empty; every document gets end_id. Rows that repeat a doc_id, or have none, are stored each. No rows:
+    no shards.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -105,7 +108,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
                 for doc, n, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                     data = frame.as_buffer()
                     out.write(data)
-                    index.append((doc, at, data.size, n))
+                    index.append((NO_ID if doc is None else doc, at, data.size, n))
                     at += data.size
         if not index:
             store.delete_file(own)
@@ -148,7 +151,7 @@ def read_shards(manifest: DataFrame, folder: str, block_bytes: int = 4 << 20) ->
                         data = memoryview(file.read(int(index["at"][j - 1] + index["size"][j - 1] - index["at"][i])))
                         base = index["at"][i]
                         ids = [codec.decompress(data[a - base : a - base + s]) for a, s in zip(index["at"][i:j], index["size"][i:j])]
-                        yield pa.RecordBatch.from_arrays([pa.array(index["doc_id"][i:j]), pa.array(starts[i:j]), pa.array(index["n_tokens"][i:j]), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array(index["doc_id"][i:j], mask=index["doc_id"][i:j] == NO_ID), pa.array(starts[i:j]), pa.array(index["n_tokens"][i:j]), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
                         i = j
 
     n = max(1, manifest.count())
