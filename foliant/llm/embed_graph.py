@@ -23,6 +23,8 @@ THRESHOLD = 0.93
 SAMPLE, CELL, MOST_CELLS, SPREAD = 20_000, 512, 1024, 3
 #: Vectors of a shard at most; neighbours kept by pruning and its slack; the beam; queries searched at once.
 SHARD, DEGREE, ALPHA, BEAM, QUERIES = 2048, 24, 1.2, 24, 256
+#: Pairs of vectors whose cosines are in memory at once.
+PAIRS = 1 << 16
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -70,10 +72,34 @@ def prune(v: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search(v: np.ndarray, nbrs: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place) of what lies within the range of each query (places in v). nbrs: padded with -1.
+class Edges:
+    """Neighbours of each place, one list after the other: a hub costs what it has, and no other place is padded to it."""
 
-    Greedy search with a beam from the medoid; then every place in range passes the search on to its neighbours.
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray):
+        """An edge leads both ways."""
+        code = np.unique(np.concatenate((a * n + b, b * n + a)))
+        self.to = code % n
+        self.start = np.searchsorted(code // n, np.arange(n + 1))
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into places, neighbour) of all their neighbours."""
+        size = self.start[places + 1] - self.start[places]
+        row = np.repeat(np.arange(len(places)), size)
+        return row, self.to[np.arange(len(row)) + np.repeat(self.start[places] - np.cumsum(size) + size, size)]
+
+
+def similarities(q: np.ndarray, v: np.ndarray, qi: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty(len(qi))
+    for i in range(0, len(qi), PAIRS):
+        out[i : i + PAIRS] = np.einsum("pd,pd->p", q[qi[i : i + PAIRS]], v[at[i : i + PAIRS]])
+    return out
+
+
+def search(v: np.ndarray, edges: Edges, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of what lies within the range of each query (places in v).
+
+    Greedy search with a beam from the medoid; then every place in range passes the search on to its neighbours. A place is
+    compared with a query once, and PAIRS of them at a time are in memory.
     """
     n = len(v)
     medoid = int((v @ v.mean(0)).argmax())
@@ -88,13 +114,22 @@ def search(v: np.ndarray, nbrs: np.ndarray, queries: np.ndarray, threshold: floa
     seen[:, medoid] = True
     in_q, in_at = [], []
 
-    def note(qi: np.ndarray, at: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look(front_q: np.ndarray, front_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the front's neighbours are that weren't seen: query, place, similarity, whether it is in range."""
+        row, at = edges.of(front_at)
+        code = front_q[row] * n + at
+        code = np.unique(code[~seen.ravel()[code]])
+        seen.ravel()[code] = True
+        qi, at = code // n, code % n
+        sim = similarities(q, v, qi, at)
         hit = sim >= threshold
         in_q.append(qi[hit])
         in_at.append(at[hit])
-        return qi[hit], at[hit]
+        return qi, at, sim, hit
 
-    note(rows, np.full(len(q), medoid), beam_sim[:, 0])
+    near = beam_sim[:, 0] >= threshold
+    in_q.append(rows[near])
+    in_at.append(np.full(int(near.sum()), medoid))
     while True:
         open_sim = np.where(done, -3, beam_sim)
         best = open_sim.argmax(1)
@@ -102,30 +137,39 @@ def search(v: np.ndarray, nbrs: np.ndarray, queries: np.ndarray, threshold: floa
         if not len(act):
             break
         done[act, best[act]] = True
-        near = nbrs[beam_at[act, best[act]]]
-        fresh = (near >= 0) & ~seen[act[:, None], near]
-        sim = np.where(fresh, np.einsum("qd,qrd->qr", q[act], v[near]), -2.0)
-        qi, col = np.nonzero(fresh)
-        seen[act[qi], near[qi, col]] = True
-        note(act[qi], near[qi, col], sim[qi, col])
-        all_at, all_sim = np.concatenate((beam_at[act], near), 1), np.concatenate((beam_sim[act], sim), 1)
-        all_done = np.concatenate((done[act], ~fresh), 1)
+        qi, at, sim, _ = look(act, beam_at[act, best[act]])
+        order = np.lexsort((-sim, qi))
+        qi, at, sim = qi[order], at[order], sim[order]
+        rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        top = rank < BEAM
+        new_at, new_sim, new_done = np.full((len(q), BEAM), medoid), np.full((len(q), BEAM), -2.0), np.ones((len(q), BEAM), bool)
+        new_at[qi[top], rank[top]], new_sim[qi[top], rank[top]], new_done[qi[top], rank[top]] = at[top], sim[top], False
+        all_at, all_sim, all_done = np.concatenate((beam_at, new_at), 1), np.concatenate((beam_sim, new_sim), 1), np.concatenate((done, new_done), 1)
         order = np.argpartition(-all_sim, BEAM - 1, axis=1)[:, :BEAM]
-        beam_at[act], beam_sim[act], done[act] = (np.take_along_axis(x, order, 1) for x in (all_at, all_sim, all_done))
-    front_q, front_at = np.concatenate(in_q), np.concatenate(in_at)
-    while len(front_q):
-        near = nbrs[front_at]
-        qi, at = np.repeat(front_q, near.shape[1]), near.ravel()
-        ok = at >= 0
-        qi, at = qi[ok], at[ok]
-        code = np.unique(qi * n + at)
-        code = code[~seen.ravel()[code]]
-        seen.ravel()[code] = True
-        qi, at = code // n, code % n
-        front_q, front_at = note(qi, at, np.einsum("pd,pd->p", q[qi], v[at]))
+        beam_at, beam_sim, done = (np.take_along_axis(x, order, 1) for x in (all_at, all_sim, all_done))
+    fronts = [(np.concatenate(in_q), np.concatenate(in_at))]
+    while fronts:
+        front_q, front_at = fronts.pop()
+        if len(front_q) > PAIRS // DEGREE:
+            half = len(front_q) // 2
+            fronts += [(front_q[:half], front_at[:half]), (front_q[half:], front_at[half:])]
+        elif len(front_q):
+            qi, at, _, hit = look(front_q, front_at)
+            fronts.append((qi[hit], at[hit]))
     return np.concatenate(in_q), np.concatenate(in_at)
 
 
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of a and b, pair by pair, in place; root is each place's least one and stays so."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, embedding) of the rows that can link: a label, a vector without nulls or non-finite parts, not all zero."""
     v = F.col("embedding")
@@ -192,21 +236,13 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         v, copies, block = unit(np.stack(p["embedding"].to_numpy())), p["copies"].to_numpy(), p["block"].to_numpy()
         place = pd.Series(np.arange(len(rep)), rep)
         lists = [place.reindex(x if x is not None else []).dropna().astype(int).to_numpy() for x in p["near"]]
-        # An edge leads both ways.
-        a = np.repeat(np.arange(len(rep)), [len(x) for x in lists])
-        b = np.concatenate(lists) if len(lists) else a
-        a, b = np.concatenate((a, b)), np.concatenate((b, a))
-        code = np.unique(a * len(rep) + b)
-        a, b = code // len(rep), code % len(rep)
-        count = np.bincount(a, minlength=len(rep))
-        nbrs = np.full((len(rep), max(1, int(count.max(initial=0)))), -1)
-        nbrs[a, np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)] = b
+        edges = Edges(len(rep), np.repeat(np.arange(len(rep)), [len(x) for x in lists]), np.concatenate(lists))
         width = max(len(c) for c in p["cells"])
         cells = np.array([[*c, *[-(1 << 40) - i for _ in range(width - len(c))]] for i, c in enumerate(p["cells"])])
         i, j = int(p["i"][0]), int(p["j"][0])
         degree, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
         for at in range(0, len(rep), QUERIES):
-            qi, to = search(v, nbrs, np.arange(at, min(at + QUERIES, len(rep))), threshold)
+            qi, to = search(v, edges, np.arange(at, min(at + QUERIES, len(rep))), threshold)
             qi = qi + at
             # Links lead both ways too: what one search finds, the other may miss. Each pair once, with the smaller place first.
             ok = qi != to
@@ -223,20 +259,12 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
                 own &= ~inner | home
             qi, to = qi[own], to[own]
             np.add.at(degree, qi, copies[to])
-            for s, t in zip(qi.tolist(), to.tolist()):
-                while root[s] != s:
-                    root[s] = root[root[s]]
-                    s = root[s]
-                while root[t] != t:
-                    root[t] = root[root[t]]
-                    t = root[t]
-                if s != t:
-                    root[max(s, t)] = min(s, t)
-        for s in range(len(rep)):
-            root[s] = root[root[s]]
+            unite(root, qi, to)
         return pd.DataFrame({"rep": rep, "n": degree, "head": rep[root]})
 
-    found = shards.join(graph, "rep", "left").groupBy(*by).applyInPandas(find, "rep long, n long, head long")
+    # A task gets about as many rows as a shard has at most: the work is in Python, and Spark would join small partitions.
+    tasks = max(1, -(-shards.count() // SHARD))
+    found = shards.join(graph, "rep", "left").repartition(tasks, *by).groupBy(*by).applyInPandas(find, "rep long, n long, head long")
     found = write_table(found, "found")
     degrees = found.groupBy("rep").agg(F.sum("n").alias("n"))
     return classes, degrees.select("rep", "n"), found.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
