@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Suffixes of page images, and names that archives hold beside pages.
-IMAGE_SUFFIXES = ("avif", "bmp", "gif", "heic", "heif", "jfif", "jp2", "jpe", "jpeg", "jpg", "jxl", "png", "tif", "tiff", "webp")
+IMAGE_SUFFIXES = ("avif", "bmp", "gif", "hdp", "j2k", "jb2", "jbig2", "jp2", "jpeg", "jpg", "jpx", "jxl", "jxr", "pam", "pbm", "pgm", "pkm", "png", "pnm", "ppm", "psd", "tif", "tiff", "wdp", "webp")
 JUNK_NAMES = ("__macosx", "thumbs.db", "ehthumbs.db", "desktop.ini")
 
 
@@ -18,8 +18,8 @@ def natural_key(name: Column) -> Column:
 
 
 def is_junk(path: Column) -> Column:
-    """Any part of the path is hidden or a system file; both slashes part."""
-    return F.exists(F.split(F.lower(path), r"[\\/]"), lambda p: p.startswith(".") | p.isin(*JUNK_NAMES))
+    """Any part of the path is hidden or a system file; both slashes part. `.` and `..` are no names."""
+    return F.exists(F.split(F.lower(path), r"[\\/]"), lambda p: (p.startswith(".") & ~p.isin(".", "..")) | p.isin(*JUNK_NAMES))
 
 
 def is_image(path: Column) -> Column:

@@ -29,37 +29,39 @@ def _paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.lit("p"), i.cast("string"), tail).alias("name"))
 
 
-@query(rf"""SELECT page_id, {_PATHS} AS name FROM pages WHERE len(list_filter(string_split_regex(lower({_PATHS}), '[\\/]'), lambda x: starts_with(x, '.') OR x IN ('__macosx', 'thumbs.db', 'ehthumbs.db', 'desktop.ini'))) = 0""")
+@query(rf"""SELECT page_id, {_PATHS} AS name FROM pages WHERE len(list_filter(string_split_regex(lower({_PATHS}), '[\\/]'), lambda x: (starts_with(x, '.') AND x NOT IN ('.', '..')) OR x IN ('__macosx', 'thumbs.db', 'ehthumbs.db', 'desktop.ini'))) = 0""")
 def junk_filter(spark, sf_dir):
     return _paths(spark, sf_dir).where(~is_junk(F.col("name")))
 
 
-@query(rf"""SELECT page_id, {_PATHS} AS name FROM pages WHERE regexp_matches(lower({_PATHS}), '\.(avif|bmp|gif|heic|heif|jfif|jp2|jpe|jpeg|jpg|jxl|png|tif|tiff|webp)$') AND NOT starts_with(string_split({_PATHS}, '/')[-1], '.')""")
+@query(rf"""SELECT page_id, {_PATHS} AS name FROM pages WHERE regexp_matches(lower({_PATHS}), '\.(avif|bmp|gif|hdp|j2k|jb2|jbig2|jp2|jpeg|jpg|jpx|jxl|jxr|pam|pbm|pgm|pkm|png|pnm|ppm|psd|tif|tiff|wdp|webp)$') AND NOT starts_with(string_split({_PATHS}, '/')[-1], '.')""")
 def image_filter(spark, sf_dir):
     return _paths(spark, sf_dir).where(is_image(F.col("name")))
 
 
 @query("""WITH s AS (SELECT role, conv_id, turn, octet_length(encode(text)) AS size FROM conversations WHERE text IS NOT NULL),
 p AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(sum(size) OVER (PARTITION BY role ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY role) AS total, count(*) OVER (PARTITION BY role) AS n,
-  conv_id IS DISTINCT FROM lag(conv_id) OVER w AS edge FROM s WINDOW w AS (PARTITION BY role ORDER BY conv_id, turn)),
-t AS (SELECT DISTINCT role, k, total * k // 5 AS goal, n FROM p, (VALUES (1), (2), (3), (4)) v(k)),
-b AS (SELECT t.role, k, coalesce(min(i) FILTER (before >= goal), any_value(t.n)) AS j, any_value(t.n) AS n FROM t JOIN p USING (role) GROUP BY t.role, k),
-e AS (SELECT b.role, k, b.j, b.n, arg_min(p.i, (abs(p.i - b.j), p.i)) AS near FROM b JOIN p ON p.role = b.role AND p.edge GROUP BY ALL),
-c AS (SELECT role, k, CASE WHEN abs(near - j) * 10 <= n THEN near ELSE j END AS bound FROM e)
+  conv_id <> lag(conv_id) OVER w AS edge FROM s WINDOW w AS (PARTITION BY role ORDER BY conv_id, turn)),
+t AS (SELECT DISTINCT role, k, total * k AS goal, total, n FROM p, (VALUES (1), (2), (3), (4)) v(k)),
+b AS (SELECT t.role, k, coalesce(min(i) FILTER (5 * before >= goal), any_value(t.n)) AS j, any_value(t.goal) AS goal, any_value(t.total) AS total FROM t JOIN p USING (role) GROUP BY t.role, k),
+e AS (SELECT b.role, k, b.j, b.total, arg_min(p.i, (abs(5 * p.before - b.goal), p.i)) AS near, min(abs(5 * p.before - b.goal)) AS off FROM b LEFT JOIN p ON p.role = b.role AND p.edge GROUP BY ALL),
+c AS (SELECT role, k, CASE WHEN 2 * off <= total THEN near ELSE j END AS bound FROM e)
 SELECT p.role, p.conv_id, p.turn, CAST(1 + count(c.k) AS BIGINT) AS part FROM p LEFT JOIN c ON c.role = p.role AND p.i >= c.bound GROUP BY p.role, p.conv_id, p.turn""")
 def balanced_split(spark, sf_dir):
-    """Five parts of about equal bytes; a bound moves to the nearest folder's edge within half a part of pages."""
+    """Five parts of about equal bytes; a bound moves to the nearest folder's edge if that is within half a part of bytes."""
     w = Window.partitionBy("role").orderBy("conv_id", "turn")
     all_rows = Window.partitionBy("role")
     s = table(spark, sf_dir, "conversations").where("text is not null").select("role", "conv_id", "turn", F.octet_length("text").alias("size"))
-    p = s.select("role", "conv_id", "turn", (F.row_number().over(w) - 1).alias("i"), exclusive_sum("size", ["role"], ["conv_id", "turn"]).alias("before"), F.sum("size").over(all_rows).alias("total"), F.count("*").over(all_rows).alias("n"), (~F.col("conv_id").eqNullSafe(F.lag("conv_id").over(w))).alias("edge"))
-    goal = lambda k: F.floor(F.col("total") * k / 5)
-    bounds = p.groupBy("role").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("before") >= goal(k), F.col("i"))).alias(f"j{k}") for k in range(1, 5)])
-    bounds = bounds.select("role", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(f"j{k}", "n").alias("j")) for k in range(1, 5)])).alias("b")).select("role", "n", "b.*")
-    edges = p.where("edge").select("role", F.col("i").alias("at"))
-    near = bounds.join(edges, "role").groupBy("role", "k", "j", "n").agg(F.min_by("at", F.struct(F.abs(F.col("at") - F.col("j")), F.col("at"))).alias("near"))
-    cuts = near.select("role", F.when(F.abs(F.col("near") - F.col("j")) * 10 <= F.col("n"), F.col("near")).otherwise(F.col("j")).alias("bound")).groupBy("role").agg(F.collect_list("bound").alias("cuts"))
-    return p.join(F.broadcast(cuts), "role").select("role", "conv_id", "turn", (F.lit(1) + F.size(F.filter("cuts", lambda c: F.col("i") >= c))).cast("long").alias("part"))
+    p = s.select(
+        "role", "conv_id", "turn", (F.row_number().over(w) - 1).alias("i"), exclusive_sum("size", ["role"], ["conv_id", "turn"]).alias("before"),
+        F.sum("size").over(all_rows).alias("total"), F.count("*").over(all_rows).alias("n"), (F.col("conv_id") != F.lag("conv_id").over(w)).alias("edge"),
+    )
+    off = lambda k: F.abs(5 * F.col("before") - k * F.col("total"))
+    ends = lambda k: F.coalesce(F.min(F.when(5 * F.col("before") >= k * F.col("total"), F.col("i"))), F.max("n"))
+    near = lambda k: F.min(F.when(F.col("edge"), F.struct(off(k).alias("off"), F.col("i").alias("at"))))
+    bounds = p.groupBy("role").agg(F.max("total").alias("total"), *[f(k).alias(f"{n}{k}") for k in range(1, 5) for n, f in (("end", ends), ("near", near))])
+    cuts = bounds.select("role", F.array(*[F.when(2 * F.col(f"near{k}.off") <= F.col("total"), F.col(f"near{k}.at")).otherwise(F.col(f"end{k}")) for k in range(1, 5)]).alias("cuts"))
+    return p.join(cuts, "role").select("role", "conv_id", "turn", (F.lit(1) + F.size(F.filter("cuts", lambda c: F.col("i") >= c))).cast("long").alias("part"))
 
 
 @query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
@@ -90,11 +92,11 @@ def render_key(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
-SELECT doc_id, md5(unhex(substr(h, 1, 2048) || substr(h, 2049, 2048) || substr(h, 8193, 2048) || substr(h, 32769, 2048) || substr(h, 131073, 2048))) AS digest FROM b""")
+SELECT doc_id, md5(unhex(list_reduce(list_transform(list_prepend(0, list_transform(range(11), lambda i: 1024 * CAST(pow(4, i) AS BIGINT))), lambda a: substr(h, 2 * a + 1, 2048)), lambda x, y: x || y))) AS digest FROM b""")
 def sparse_md5(spark, sf_dir):
     """MD5 of a kibibyte at 0 and at 1024 * 4^i, as far as the text goes."""
     raw = F.col("text").cast("binary")
-    parts = [F.substring(F.coalesce(raw, F.lit("").cast("binary")), at + 1, 1024) for at in (0, 1024, 4096, 16384, 65536)]
+    parts = [F.substring(F.coalesce(raw, F.lit("").cast("binary")), at + 1, 1024) for at in (0, *(1024 * 4**i for i in range(11)))]
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(*parts)).alias("digest"))
 
 

@@ -1,6 +1,7 @@
 """Every registered query that has SQL, against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from foliant import registry
@@ -20,7 +21,7 @@ def con():
 def plain(df):
     cols = sorted(df.columns)
     number = lambda v: isinstance(v, (int, float)) or hasattr(v, "dtype")
-    one = lambda v: None if v is None or v != v else repr(float(v)) if number(v) else str(v)
+    one = lambda v: None if pd.isna(v) is True else repr(float(v)) if number(v) else str(v)
     return sorted((tuple(one(v) for v in row) for row in df[cols].astype(object).itertuples(index=False)), key=str), cols
 
 
