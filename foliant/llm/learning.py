@@ -22,6 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     n = known.count()
     share = min(1.0, 1.2 * most / max(n, 1))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    known = F.broadcast(known.limit(2 * most))  # about 1.2 * most rows
     rows = docs.select("doc_id", "text").join(known, "doc_id").where(F.length("text").between(1, most_chars)).orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(most).collect()
     return list(dict((r.text, (r.text, r.label)) for r in rows).values())
 
