@@ -10,6 +10,7 @@ of the difference for each byte; a logistic regression on the training fold cali
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,10 +27,11 @@ from .learning import Logistic, labelled_sample
 #: Labelled documents, at most, that dictionaries and thresholds are fitted on, and the longest text among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
 DICTIONARY_BYTES, LEVEL, WINDOW, STEP = 16 << 10, 9, 32, 16
-#: A word belongs to a class's training text if it is in so many of its documents, and so many times likelier in them.
+#: A word belongs to a class's training text if it is in so many of its documents (near copies count once), and so
+#: many times likelier in them, with one deviation of either count taken off.
 LEAST_DOCS, TIMES = 3, 5
 #: Thresholds, in bytes saved, and in bytes saved for each byte of the window.
-SAVED, SHARE = (4, 5, 6, 7), (0.3, 0.36, 0.42, 0.48, 0.54, 0.6, 0.66)
+SAVED, SHARE = (2, 3, 4, 5, 6), (0.3, 0.36, 0.42, 0.48, 0.54, 0.6, 0.66)
 TRAILER = bytes([*range(1, 10), *range(11, 32)])
 MOST_WINDOWS = 500_000
 _letters = re.compile(rb"[a-z\x80-\xff]+").findall
@@ -43,6 +45,11 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
+def family(found: list[bytes]) -> int:
+    """A number that near copies mostly share: the least hash of three windows in a row. Copies are no evidence of their own."""
+    return min((zlib.crc32(b" ".join(found[i : i + 3])) for i in range(max(1, len(found) - 2))), default=0)
+
+
 @lru_cache(maxsize=4)
 def _sizes(dictionary: bytes):
     shared = zstandard.ZstdCompressionDict(dictionary + TRAILER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -101,11 +108,15 @@ class Model:
             return
         in_class: tuple[Counter, Counter] = (Counter(), Counter())
         size = [0, 0]
+        families: dict[tuple[int, int], set[bytes]] = {}
         for text, y in sample:
-            in_class[y].update(set(windows(text)))
+            found = windows(text)
+            families.setdefault((y, family(found)), set()).update(found)
+        for (y, _), found in families.items():
+            in_class[y].update(found)
             size[y] += 1
         ordinary, toxic = in_class
-        own = {w for w, c in toxic.items() if c >= LEAST_DOCS and c / size[1] >= TIMES * (ordinary[w] + 0.5) / size[0]}
+        own = {w for w, c in toxic.items() if c >= LEAST_DOCS and (c - c**0.5) / size[1] >= TIMES * (ordinary[w] + (ordinary[w] + 1) ** 0.5 + 0.5) / size[0]}
         worth = lambda of: lambda w: (-of[w] * (len(w) - 2), w)
         self.toxic = _content(sorted(own, key=worth(toxic)))
         self.ordinary = _content(sorted((w for w in ordinary if w not in own), key=worth(ordinary))[: 4 * DICTIONARY_BYTES])
