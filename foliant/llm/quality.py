@@ -19,10 +19,10 @@ from .learning import labelled_sample
 
 #: Labelled documents, at most, that the network is fitted on, and the longest text among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 2400, 12_000
-FILTERS, WIDTH, STRIDE, CHUNK, OVERLAP, HIDDEN = 24, 6, 3, 1152, 96, 16
+FILTERS, WIDTH, STRIDE, CHUNK, OVERLAP, HIDDEN = 32, 6, 3, 384, 96, 16
 STEPS, BATCH, RATE = 1050, 32, 0.004
 #: Chunks whose responses are in memory at once.
-BLOCK = 256
+BLOCK = 512
 _EXTENT = CHUNK + WIDTH
 
 
