@@ -212,3 +212,15 @@ def test_chain_scores_against_quadratic_chaining():
         assert sum(c[4] for c in got) == len(anchors)
         for s, e, os, oe, _ in got:
             assert s < e and os < oe
+
+
+def test_every_stretch_of_a_chain_is_found(spark):
+    """Two passages of 60 words with 20 own words between them: one chain, and too far apart for one stretch."""
+    r = random.Random(4)
+    make = lambda n, k: [f"{k}{r.randrange(10**6)}" for _ in range(n)]
+    p, q = make(60, "p"), make(60, "q")
+    rows = [(i, " ".join(make(30, "x") + p + make(20, "y") + q + make(30, "z"))) for i in (1, 2)]
+    found = substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)[2]
+    cut = sorted(text[f.start : f.start + f.length].split() for f in found)
+    assert cut == sorted([p, q]) and all(f.similarity == 1.0 and f.words == 60 for f in found)
