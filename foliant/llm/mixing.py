@@ -14,27 +14,41 @@ from .common import write_table
 SWEEPS = 12
 
 
-def fit(cells: DataFrame, margins: dict[str, dict[str, float]], sweeps: int = SWEEPS) -> DataFrame:
+def fit(cells: DataFrame, margins: dict[str, dict[str, float] | None], sweeps: int = SWEEPS) -> DataFrame:
     """`cells` (the margin columns, tokens) with `weight`: tokens raked to the target share of every margin.
 
-    Values without a target share what the named ones leave of 1, in proportion to their tokens; targets of absent values
-    are spread over the present ones. Nulls are values. Cells stay zero where there are no tokens.
+    A margin without targets (None) gives each of its values the same share. Values without a target share what the named ones
+    leave of 1, in proportion to their tokens; where those leave nothing, they keep the share of the tokens that they have.
+    Targets of absent values are spread over the present ones. Nulls are values. Cells stay zero where there are no tokens.
     """
     whole = Window.partitionBy(F.lit(0))
     goals = cells.withColumn("_all", F.sum("tokens").over(whole))
     for name, wanted in margins.items():
         over = Window.partitionBy(name)
-        named = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
-        goals = goals.withColumn(f"_has_{name}", F.sum("tokens").over(over)).withColumn(f"_raw_{name}", F.try_element_at(named, F.coalesce(F.col(name).cast("string"), F.lit("")))) if wanted else goals.withColumn(f"_has_{name}", F.sum("tokens").over(over)).withColumn(f"_raw_{name}", F.lit(None).cast("double"))
-        rest = 1.0 - sum(wanted.values())
+        has = f"_has_{name}"
+        goals = goals.withColumn(has, F.sum("tokens").over(over))
+        if wanted is None:
+            raw = F.lit(1.0)
+        elif wanted:
+            named = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
+            raw = F.try_element_at(named, F.coalesce(F.col(name).cast("string"), F.lit("")))
+        else:
+            raw = F.lit(None).cast("double")
+        goals = goals.withColumn(f"_raw_{name}", raw)
+        rest = 1.0 - sum((wanted or {}).values())
         others = F.sum(F.when(F.col(f"_raw_{name}").isNull(), F.col("tokens"))).over(whole)
-        goals = goals.withColumn(f"_raw_{name}", F.coalesce(F.col(f"_raw_{name}"), F.lit(rest) * F.col(f"_has_{name}") / others))
+        if rest > 1e-9:
+            left = F.lit(rest)
+        else:  # as much beside the named ones that are present as their tokens are beside those
+            present = F.sum(F.col(f"_raw_{name}") * F.col("tokens") / F.col(has)).over(whole)
+            left = F.coalesce(F.try_divide(present * others, F.col("_all") - others), F.lit(1.0))
+        goals = goals.withColumn(f"_raw_{name}", F.coalesce(F.col(f"_raw_{name}"), left * F.col(has) / others))
         share = F.sum(F.col(f"_raw_{name}") * F.col("tokens") / F.col(f"_has_{name}")).over(whole)
         goals = goals.withColumn(f"_goal_{name}", F.col(f"_raw_{name}") / share * F.col("_all"))
     fitted = goals.withColumn("weight", F.col("tokens").cast("double"))
     for sweep in range(sweeps):
         for name in margins:
-            fitted = fitted.withColumn("weight", F.col("weight") * F.col(f"_goal_{name}") / F.sum("weight").over(Window.partitionBy(name)))
+            fitted = fitted.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_goal_{name}"), F.sum("weight").over(Window.partitionBy(name))), F.lit(0.0)))
         if sweep % 4 == 3:  # keeps the plan short
             fitted = write_table(fitted, "raked")
     return fitted.select(*margins, "tokens", "weight")
@@ -45,7 +59,7 @@ def unit_draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, margins: dict[str, dict[str, float]], tokens: Column, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, margins: dict[str, dict[str, float] | None], tokens: Column, seed: str = "mix") -> DataFrame:
     """`docs` with `tokens`, `probability`, `draw` and `kept`.
 
     The probability of a cell is its raked weight over its tokens, scaled so that the largest is 1: the sample has the

@@ -10,7 +10,7 @@ from .common import table
 from .learning import fold
 from .tokens import tokenizer_path
 
-#: Target shares; sources are to weigh the same, each.
+#: Target shares; sources are to weigh the same, each: whichever the table has (SOURCES are those of the given tables, for the SQL).
 LANGUAGES = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
 TOPICS = {"list": 0.1, "loud": 0.05, "prose": 0.85}
 SOURCES = {f"src{i}": 0.05 for i in range(20)}
@@ -51,7 +51,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     with_topic = docs.withColumn("topic", topic())
-    return mixing.mix(with_topic, {"source": SOURCES, "lang": LANGUAGES, "topic": TOPICS}, word_tokens())
+    return mixing.mix(with_topic, {"source": None, "lang": LANGUAGES, "topic": TOPICS}, word_tokens())
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,14 @@ def test_null_margins_are_values(spark):
     d = spark.createDataFrame([(i, "a b c", None if i % 2 else "s", "en") for i in range(40)], "doc_id long, text string, source string, lang string")
     got = mixing.mix(d, {"source": {"s": 0.5}}, F.lit(3).cast("long"))
     assert got.count() == 40 and {round(r[0], 6) for r in got.select("probability").distinct().collect()} == {1.0}
+
+
+def test_nulls_and_unlisted_values_under_the_production_targets(spark):
+    sources, langs = ["src0", "src1", None, "elsewhere"], ["en", "fr", None, "pt"]
+    rows = [(i, "a b c", sources[i % 4], langs[i // 4 % 4]) for i in range(160)]
+    got = queries.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert len(got) == 160 and all(0 < r.probability <= 1 for r in got)
+    weight = lambda column, value: sum(r.probability for r in got if r[column] == value) / sum(r.probability for r in got)
+    assert all(abs(weight("source", s) - 0.25) < 1e-6 for s in sources)
+    # Languages without a target keep their half; the named ones share the other by their targets.
+    assert all(abs(weight("lang", v) - w) < 1e-6 for v, w in [("en", 0.55 / 0.7 / 2), ("fr", 0.15 / 0.7 / 2), (None, 0.25), ("pt", 0.25)])
