@@ -3,8 +3,8 @@
 Vectors of one label are dealt to cells: the SPREAD nearest of centroids that a bounded sample gives. A cell that is larger
 than SHARD vectors is cut into blocks, and every two of its blocks make a shard, so shards stay bounded and each pair of a
 cell still meets in one. A shard links each vector to robust-pruned neighbours; a vector's lists from all its shards are
-united; every vector is then searched for in each of its shards, from the medoid, and from where the search ends as far as
-the range reaches. A pair belongs to the first shard that both are in, so links are counted, not listed.
+united, parts of a shard's graph are joined; every vector is then searched for in each of its shards, from the medoid and from
+its own place, and from where the search ends as far as the range reaches. A pair belongs to the first shard that both are in, so links are counted, not listed.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def similarities(q: np.ndarray, v: np.ndarray, qi: np.ndarray, at: np.ndarray) -
 def search(v: np.ndarray, edges: Edges, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, place) of what lies within the range of each query (places in v).
 
-    Greedy search with a beam from the medoid; then every place in range passes the search on to its neighbours. A place is
+    Greedy search with a beam from the medoid and the query's own place; then every place in range passes the search on to its neighbours. A place is
     compared with a query once, and PAIRS of them at a time are in memory.
     """
     n = len(v)
@@ -109,9 +109,12 @@ def search(v: np.ndarray, edges: Edges, queries: np.ndarray, threshold: float) -
     beam_at = np.full((len(q), BEAM), medoid)
     beam_sim = np.full((len(q), BEAM), -2.0)
     beam_sim[:, 0] = q @ v[medoid]
+    beam_at[:, 1], beam_sim[:, 1] = queries, np.where(queries == medoid, -2.0, 1.0)
     done = np.ones((len(q), BEAM), bool)
     done[:, 0] = False
+    done[:, 1] = queries == medoid
     seen[:, medoid] = True
+    seen[rows, queries] = True
     in_q, in_at = [], []
 
     def look(front_q: np.ndarray, front_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,8 +131,8 @@ def search(v: np.ndarray, edges: Edges, queries: np.ndarray, threshold: float) -
         return qi, at, sim, hit
 
     near = beam_sim[:, 0] >= threshold
-    in_q.append(rows[near])
-    in_at.append(np.full(int(near.sum()), medoid))
+    in_q += [rows[near], np.flatnonzero(queries != medoid)]
+    in_at += [np.full(int(near.sum()), medoid), queries[queries != medoid]]
     while True:
         open_sim = np.where(done, -3, beam_sim)
         best = open_sim.argmax(1)
@@ -170,6 +173,35 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
+def join_parts(v: np.ndarray, edges: Edges, threshold: float) -> Edges:
+    """`edges`, and where they leave the graph in parts, edges between those.
+
+    Each part is linked to the medoid at its nearest place, and each place to the nearest of every other part that is in range.
+    """
+    n = len(v)
+    root, a = np.arange(n), np.repeat(np.arange(n), np.diff(edges.start))
+    unite(root, a, edges.to)
+    heads = np.unique(root)
+    if len(heads) < 2:
+        return edges
+    medoid = int((v @ v.mean(0)).argmax())
+    to_medoid = v @ v[medoid]
+    more_a, more_b = [a], [edges.to]
+    for h in heads:
+        own = np.flatnonzero(root == h)
+        more_a.append(own[[to_medoid[own].argmax()]])
+        more_b.append(np.array([medoid]))
+        others = np.flatnonzero(root != h)
+        for at in range(0, len(others), QUERIES):
+            sim = v[others[at : at + QUERIES]] @ v[own].T
+            near = sim.argmax(1)
+            ok = sim[np.arange(len(sim)), near] >= threshold
+            more_a.append(others[at : at + QUERIES][ok])
+            more_b.append(own[near[ok]])
+    a, b = np.concatenate(more_a), np.concatenate(more_b)
+    return Edges(n, a[a != b], b[a != b])
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, embedding) of the rows that can link: a label, a vector without nulls or non-finite parts, not all zero."""
     v = F.col("embedding")
@@ -237,6 +269,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
         place = pd.Series(np.arange(len(rep)), rep)
         lists = [place.reindex(x if x is not None else []).dropna().astype(int).to_numpy() for x in p["near"]]
         edges = Edges(len(rep), np.repeat(np.arange(len(rep)), [len(x) for x in lists]), np.concatenate(lists))
+        edges = join_parts(v, edges, threshold)
         width = max(len(c) for c in p["cells"])
         cells = np.array([[*c, *[-(1 << 40) - i for _ in range(width - len(c))]] for i, c in enumerate(p["cells"])])
         i, j = int(p["i"][0]), int(p["j"][0])

@@ -180,6 +180,16 @@ def test_graph_search_finds_a_large_group(spark):
     assert embed_graph.audit_recall(rows, got) >= 0.9
 
 
+def test_graph_search_finds_every_large_group_of_a_label(spark):
+    """Groups that hold more than the nearest vectors that pruning looks at: the graph of their shard falls into parts."""
+    r = np.random.default_rng(1)
+    v = np.concatenate([r.normal(size=16) + 0.03 * r.normal(size=(160, 16)) for _ in range(3)]).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = embed_graph.near_duplicates(rows)
+    assert {(r.vec_id // 160, r.component_id) for r in got.collect()} == {(0, 0), (1, 160), (2, 320)}
+    assert embed_graph.audit_recall(rows, got, every=1) >= 0.99
+
+
 WORDS = [f"w{i}" for i in range(4000)]
 
 
