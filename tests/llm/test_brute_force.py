@@ -234,3 +234,16 @@ def test_every_stretch_of_a_chain_is_found(spark):
     text = dict(rows)[2]
     cut = sorted(text[f.start : f.start + f.length].split() for f in found)
     assert cut == sorted([p, q]) and all(f.similarity == 1.0 and f.words == 60 for f in found)
+
+
+def test_alignment_keeps_what_the_chain_found(spark):
+    """Long words; and a frequent run of three words before a passage that the other text has within it."""
+    r = random.Random(6)
+    make = lambda n, k, size=1: [f"{k}{r.randrange(10**6)}".ljust(size, "u") for _ in range(n)]
+    p, q = make(60, "p", 40), make(60, "q")
+    q[30:33] = ["in", "any", "case"]
+    rows = [(1, make(40, "x") + p + make(40, "y")), (2, make(40, "z") + p + make(40, "a")), (3, make(40, "b") + q + make(40, "c"))]
+    rows.append((4, make(25, "d") + ["in", "any", "case"] + make(5, "e") + q + make(40, "f")))
+    text = {i: " ".join(w) for i, w in rows}
+    found = substring.find_passages(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+    assert {(f.doc_id, f.source_id): text[f.doc_id][f.start : f.start + f.length].split() for f in found} == {(2, 1): p, (4, 3): q} and len(found) == 2
