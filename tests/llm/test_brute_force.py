@@ -247,3 +247,14 @@ def test_alignment_keeps_what_the_chain_found(spark):
     text = {i: " ".join(w) for i, w in rows}
     found = substring.find_passages(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
     assert {(f.doc_id, f.source_id): text[f.doc_id][f.start : f.start + f.length].split() for f in found} == {(2, 1): p, (4, 3): q} and len(found) == 2
+
+
+def test_every_place_of_a_passage_is_found(spark):
+    r = random.Random(7)
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    p, own = make(60), make(70)
+    rows = [(1, " ".join(p)), (2, " ".join([*p, *own, *p, *own[:40], *p]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring.find_passages(docs).where("doc_id = 2 and source_id = 1 and words = 60").count() == 3
+    left = {x.doc_id: x.text.split() for x in substring.remove_passages(docs, substring.find_passages(docs)).collect()}
+    assert left[2] == own + own[:40]
