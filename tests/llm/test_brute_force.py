@@ -258,3 +258,16 @@ def test_every_place_of_a_passage_is_found(spark):
     assert substring.find_passages(docs).where("doc_id = 2 and source_id = 1 and words = 60").count() == 3
     left = {x.doc_id: x.text.split() for x in substring.remove_passages(docs, substring.find_passages(docs)).collect()}
     assert left[2] == own + own[:40]
+
+
+def test_passages_whose_parts_occur_first_elsewhere(spark):
+    """Three lines that three documents have singly; and a variant with half of a passage before two that have it all."""
+    for seed in range(4):
+        r = random.Random(seed)
+        make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+        lines, q = [make(20) for _ in range(3)], make(70)
+        rows = [(i, make(40) + lines[i] + make(40)) for i in range(3)] + [(i, make(40) + sum(lines, []) + make(40)) for i in (3, 4)]
+        rows += [(5, make(40) + q[:35] + make(40)), (6, make(40) + q + make(40)), (7, make(40) + q + make(40))]
+        text = {i: " ".join(w) for i, w in rows}
+        found = substring.find_passages(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+        assert {(f.doc_id, f.source_id): text[f.doc_id][f.start : f.start + f.length].split() for f in found} == {(4, 3): sum(lines, []), (7, 6): q}
