@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, write_table
+from .common import map_in_arrow, write_table
 
 #: Samples in a frame and between frames; the payload is padded with PAD to whole frames. Samples a second in the header.
 FRAME, HOP, PAD, RATE = 576, 288, 255, 8000
@@ -83,8 +83,7 @@ def store_media(docs: DataFrame) -> DataFrame:
             raw = [(t or "").encode() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([to_wav(padded(r)) for r in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    small_batches(docs.sparkSession)
-    return write_table(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media")
+    return write_table(map_in_arrow(docs.select("doc_id", "text"), encode, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -99,8 +98,7 @@ def media_features(media: DataFrame) -> DataFrame:
             prints = pa.array([fingerprint(p) for p in payload], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(payload, pa.binary()), prints], ["doc_id", "n_bytes", "media", "payload", "fingerprint"])
 
-    small_batches(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, media binary, payload binary, fingerprint array<long>")
+    return map_in_arrow(media.select("doc_id", "n_bytes", "media"), read, "doc_id long, n_bytes long, media binary, payload binary, fingerprint array<long>")
 
 
 def digests(features: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_in_arrow
 from .tokens import ids_of
 
 #: The smallest piece that is cut off for an exact fit, and the share of a sequence that a piece may waste uncut.
@@ -111,5 +111,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
         if packer.rows:
             yield out()
 
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return map_in_arrow(docs.select("doc_id", F.col("text").cast("string")), run, SCHEMA)

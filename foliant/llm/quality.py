@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .learning import labelled_sample
 
 #: Labelled documents, at most, that the network is fitted on, and the longest text among them.
@@ -136,5 +135,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         for texts in parts:
             yield pd.Series(shared.value.scores(texts.tolist()))
 
-    small_batches(docs.sparkSession)
     return docs.withColumn(name, of(F.col(text)))

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, fresh_path, small_batches, write_table
+from .common import drop_table, fresh_path, map_in_arrow, write_table
 from .tokens import ids_of
 
 #: Documents, at most about, whose ids the dictionary is trained on, dealt evenly over all by a hash of the id; and its size.
@@ -47,8 +47,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([with_end(t.as_py(), tokenizer, end_id) for t in b.column(0)], pa.binary())], ["ids"])
 
-    small_batches(spark)
-    rows = docs.where(part).select("text").limit(4 * DICTIONARY_DOCS).mapInArrow(encode, "ids binary").collect()
+    rows = map_in_arrow(docs.where(part).select("text").limit(4 * DICTIONARY_DOCS), encode, "ids binary").collect()
     samples = sorted(bytes(r.ids)[i : i + 4096] for r in rows for i in range(0, len(r.ids), 4096))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples, k=64, d=8).as_bytes()
@@ -92,8 +91,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
             frames = pa.array([compress(i) for i in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), frames], ["doc_id", "n_tokens", "frame"])
 
-    small_batches(spark)
-    frames = write_table(docs.mapInArrow(encode, "doc_id long, n_tokens long, frame binary"), "frames")
+    frames = write_table(map_in_arrow(docs, encode, "doc_id long, n_tokens long, frame binary"), "frames")
     size = frames.agg(F.coalesce(F.sum(F.length("frame")), F.lit(0))).first()[0]
     ordered = frames.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "doc_id").sortWithinPartitions("doc_id")
 
@@ -118,7 +116,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
         store.move(own, f"{root}/{name}.bin")
         yield pa.RecordBatch.from_pydict({"shard": [name], "docs": [len(rows)], "tokens": [int(rows["n_tokens"].sum())], "bytes": [at], "first_doc": [int(rows["doc_id"][0])], "dictionary": [digest]})
 
-    shards = write_table(ordered.mapInArrow(store_shard, "shard string, docs long, tokens long, bytes long, first_doc long, dictionary string"), "manifest")
+    shards = write_table(map_in_arrow(ordered, store_shard, "shard string, docs long, tokens long, bytes long, first_doc long, dictionary string"), "manifest")
     drop_table(frames)
     # One row for each shard of SHARD_BYTES, so one task can add them up.
     before = Window.orderBy("first_doc", "shard").rowsBetween(Window.unboundedPreceding, -1)
