@@ -1,17 +1,17 @@
 """Toxicity by compression distance: how much shorter a window gets with a dictionary of toxic text than with one of ordinary text.
 
-A window is a word with the spaces about it, or, of a run of letters longer than WINDOW bytes, each of its overlapping
-parts. zstandard leaves the last bytes of a short input alone, so a fixed trailer that both dictionaries hold follows each
-window. What both dictionaries compress alike tells nothing, so each is trained on what is commoner in its own class, the
-commonest nearest to the end, where it is cheapest to refer to. Windows count at several thresholds of the difference and
-of the difference for each byte; a logistic regression on the training fold calibrates the counts.
+Both dictionaries are zstandard's own, trained on texts of their class: that of ordinary text on whole texts, that of toxic text
+first on whole texts, then on the windows that such a dictionary of one half of the toxic texts shortens in the other half. A window is
+what stands between two white spaces, with a space about it, or, where that is longer than WINDOW bytes, each of its overlapping parts:
+every byte of a text but its white space is in a window. zstandard leaves the last bytes of a short input alone, so a fixed trailer that
+both dictionaries hold follows each window. A text is described by how many windows pass each of several thresholds of the bytes
+saved; a logistic regression calibrates these counts, on texts that the dictionaries it sees them by were not trained on.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,30 +23,44 @@ from pyspark.sql import functions as F
 
 from .learning import Logistic, labelled_sample
 
-#: Labelled documents, at most, that dictionaries and thresholds are fitted on, and the longest text among them.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
-DICTIONARY_BYTES, LEVEL, WINDOW, STEP = 16 << 10, 9, 32, 16
-#: A word belongs to a class's training text if it is in so many of its documents (near copies count once), and so
-#: many times likelier in them, with one deviation of either count taken off.
-LEAST_DOCS, TIMES = 3, 5
+#: Labelled documents of either kind, at most, that dictionaries and thresholds are fitted on, and the longest text among them.
+TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 1500, 3000, 8000
+#: Sizes of the dictionaries, the length of the segments that they are put together from, and of their samples.
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, PIECE = 8 << 10, 112 << 10, 24, 400
+LEVEL, WINDOW, STEP = 9, 32, 16
+#: Bytes saved by which a window gets into the second toxic dictionary.
+TELLING = 3
 #: Thresholds, in bytes saved, and in bytes saved for each byte of the window.
-SAVED, SHARE = (4, 5, 6, 7), (0.3, 0.36, 0.42, 0.48, 0.54, 0.6, 0.66)
-TRAILER = bytes([*range(1, 10), *range(11, 32)])
+SAVED, SHARE = (2, 3, 4, 5, 6, 7, 8), (0.3, 0.36, 0.42, 0.48, 0.54, 0.6, 0.66)
+TRAILER = bytes([*range(1, 9), *range(14, 32)])
 MOST_WINDOWS = 500_000
-_letters = re.compile(rb"[a-z\x80-\xff]+").findall
+_solid = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
 
 def windows(text: str | None) -> list[bytes]:
     """The windows of a whole text, without the spaces about them."""
-    out = _letters((text or "").encode("utf-8", "replace").lower())
+    out = _solid((text or "").encode("utf-8", "replace").lower())
     if any(len(w) > WINDOW for w in out):
         out = [p for w in out for p in ([w] if len(w) <= WINDOW else [w[i : i + WINDOW] for i in range(0, len(w) - WINDOW + STEP, STEP)])]
     return out
 
 
 def family(found: list[bytes]) -> int:
-    """A number that near copies mostly share: the least hash of three windows in a row. Copies are no evidence of their own."""
-    return min((zlib.crc32(b" ".join(found[i : i + 3])) for i in range(max(1, len(found) - 2))), default=0)
+    """A number that near copies mostly share: the least hash of four windows in a row. Copies are no evidence of their own."""
+    return min((zlib.crc32(b" ".join(found[i : i + 4])) for i in range(max(1, len(found) - 3))), default=0)
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained by zstandard; of too few samples, the samples."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def _pieces(texts: list[list[bytes]]) -> list[bytes]:
+    whole = [b" " + b" ".join(t) + b" " for t in texts]
+    return [w[i : i + PIECE] for w in whole for i in range(0, len(w), PIECE)]
 
 
 @lru_cache(maxsize=4)
@@ -76,27 +90,26 @@ def _saved(toxic: bytes, ordinary: bytes) -> _Saved:
     return _Saved(toxic, ordinary)
 
 
-def features(text: str | None, saved: _Saved) -> np.ndarray:
-    found = windows(text)
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """The dictionaries of two classes of texts, which are given as their windows."""
+    plain = _dictionary(_pieces(ordinary), ORDINARY_BYTES)
+    telling = []
+    for half in (0, 1):
+        saved = _Saved(_dictionary(_pieces(toxic[1 - half :: 2]), TOXIC_BYTES), plain)
+        telling += [b" " + w + b" " for t in toxic[half::2] for w in t if saved[w] >= TELLING]
+    whole = _dictionary(_pieces(toxic), TOXIC_BYTES)
+    return (whole + _dictionary(telling, TOXIC_BYTES) if telling else whole), plain
+
+
+def features(found: list[bytes], saved: _Saved) -> np.ndarray:
     n = max(1, len(found))
     x = np.fromiter(map(saved.__getitem__, found), np.int64, len(found))
-    hit = np.flatnonzero(x >= 2)
+    hit = np.flatnonzero(x >= min(SAVED))
     x, size = x[hit], np.fromiter((len(found[i]) + 1 for i in hit), np.int64, len(hit))
-    counts = np.array([*((x >= SHARE_ * size).sum() for SHARE_ in SHARE), *((x >= t).sum() for t in SAVED)], float)
+    counts = np.array([*((x >= t).sum() for t in SAVED), *((x >= share * size).sum() for share in SHARE)], float)
     return np.r_[np.log1p(counts), counts > 0, 10 * counts / n, np.log(n)]
 
 
-def _content(words: list[bytes]) -> bytes:
-    """Dictionary content of words in falling order of use: the first of them last."""
-    kept, size = [], 1
-    for w in words:
-        if size + len(w) + 1 > DICTIONARY_BYTES:
-            break
-        kept.append(w)
-        size += len(w) + 1
-    return b" " + b" ".join(reversed(kept)) + b" "
-
-
 class Model:
     def __init__(self, sample: list[tuple[str, int]]):
         """Without examples of both kinds every score is the share of toxic ones (none: 0)."""
@@ -105,37 +118,40 @@ class Model:
         self.fitted = None
         if not 0 < self.rate < 1:
             return
-        in_class: tuple[Counter, Counter] = (Counter(), Counter())
-        size = [0, 0]
-        families: dict[tuple[int, int], set[bytes]] = {}
-        for text, y in sample:
-            found = windows(text)
-            families.setdefault((y, family(found)), set()).update(found)
-        for (y, _), found in families.items():
-            in_class[y].update(found)
-            size[y] += 1
-        ordinary, toxic = in_class
-        own = {w for w, c in toxic.items() if c >= LEAST_DOCS and (c - c**0.5) / size[1] >= TIMES * (ordinary[w] + (ordinary[w] + 1) ** 0.5 + 0.5) / size[0]}
-        worth = lambda of: lambda w: (-of[w] * (len(w) - 2), w)
-        self.toxic = _content(sorted(own, key=worth(toxic)))
-        self.ordinary = _content(sorted((w for w in ordinary if w not in own), key=worth(ordinary))[: 4 * DICTIONARY_BYTES])
-        saved = _Saved(self.toxic, self.ordinary)
-        self.fitted = Logistic(np.array([features(t, saved) for t, _ in sample]), np.array([y for _, y in sample], float))
+        found = [(windows(t), y) for t, y in sample]
+        heads = [family(f) for f, _ in found]
+        first: dict[int, int] = {}
+        for i, h in enumerate(heads):
+            first.setdefault(h, i)
+        of = lambda y, wanted: [found[i][0] for h, i in first.items() if found[i][1] == y and wanted(h)]
+        x = np.zeros((len(found), 3 * len(SAVED + SHARE) + 1))
+        for part in (0, 1):  # near copies are in one part
+            mine = [i for i, h in enumerate(heads) if h % 2 == part]
+            others = lambda h: h % 2 != part  # noqa: B023, E731
+            saved = _Saved(*dictionaries(of(1, others), of(0, others)))
+            for i in mine:
+                x[i] = features(found[i][0], saved)
+        self.fitted = Logistic(x, np.array([y for _, y in found], float))
+        self.toxic, self.ordinary = dictionaries(of(1, lambda h: True), of(0, lambda h: True))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.fitted is None:
             return np.full(len(texts), self.rate)
         saved = _saved(self.toxic, self.ordinary)
-        return self.fitted(np.array([features(t, saved) for t in texts])) if len(texts) else np.zeros(0)
+        return self.fitted(np.array([features(windows(t), saved) for t in texts])) if len(texts) else np.zeros(0)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic") -> Model:
     """Fit on a bounded sample of the rows of `labels` for which `fold` holds."""
-    return Model(labelled_sample(docs, labels, label, fold, SAMPLE_DOCS, SAMPLE_CHARS))
+    of = lambda y, most: labelled_sample(docs, labels.where(F.col(label) == y), label, fold, most, SAMPLE_CHARS)
+    return Model(of(1, TOXIC_DOCS) + of(0, ORDINARY_DOCS))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """`docs` with the probability, from 0 to 1, that the whole text is toxic; null and empty texts have no windows and get a score too."""
+    """`docs` with the probability, from 0 to 1, that the whole text is toxic, as column `name`, in place of one of that name.
+
+    Null and empty texts have no windows and get a score too; equal texts get equal scores, and rows that repeat are all kept. No rows: none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
