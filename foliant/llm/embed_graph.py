@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, write_table
+from .common import components, drop_table, group_of_equal, write_table
 
 THRESHOLD = 0.93
 #: Vectors of the sample that the centroids are fitted on; vectors meant for a cell; cells a label has at most; cells a vector is in.
@@ -106,6 +106,7 @@ def search(v: np.ndarray, edges: Edges, queries: np.ndarray, threshold: float) -
     q = v[queries]
     rows = np.arange(len(q))
     seen = np.zeros((len(q), n), bool)
+    flat, stamp = seen.ravel(), np.empty(seen.size, np.int32)
     beam_at = np.full((len(q), BEAM), medoid)
     beam_sim = np.full((len(q), BEAM), -2.0)
     beam_sim[:, 0] = q @ v[medoid]
@@ -121,8 +122,10 @@ def search(v: np.ndarray, edges: Edges, queries: np.ndarray, threshold: float) -
         """What the front's neighbours are that weren't seen: query, place, similarity, whether it is in range."""
         row, at = edges.of(front_at)
         code = front_q[row] * n + at
-        code = np.unique(code[~seen.ravel()[code]])
-        seen.ravel()[code] = True
+        code = code[~flat[code]]
+        stamp[code] = np.arange(len(code))
+        code = code[stamp[code] == np.arange(len(code))]  # each once
+        flat[code] = True
         qi, at = code // n, code % n
         sim = similarities(q, v, qi, at)
         hit = sim >= threshold
@@ -203,27 +206,27 @@ def join_parts(v: np.ndarray, edges: Edges, threshold: float) -> Edges:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, embedding) of the rows that can link: a label, a vector without nulls or non-finite parts, not all zero."""
+    """The rows that can link: an id, a label, a vector without nulls or non-finite parts, not all zero."""
     v = F.col("embedding")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    return vectors.select("vec_id", "label", "embedding").where("vec_id is not null and label is not null and embedding is not null").where((F.size(v) > 0) & F.forall(v, fine) & F.exists(v, lambda x: x != 0))
+    return vectors.where("vec_id is not null and label is not null and embedding is not null").where((F.size(v) > 0) & F.forall(v, fine) & F.exists(v, lambda x: x != 0))
 
 
-def link(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, degrees, links) of `vectors` (vec_id, embedding, label; other columns are left alone).
+def link(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, reps, links) of `rows` (row, vec_id, embedding, label; row is unique).
 
-    classes: (vec_id, rep), equal vectors of a label being one class. degrees: (rep, n) links of the class to vectors of
-    other classes. links: (a, b) some links between classes that join whatever links join. Vectors that cannot link are
-    in none of them.
+    classes: (row, rep), equal vectors of a label being one class, named by its least row. reps: (rep, copies, least, n), least being the least vec_id
+    of the class and n its links to vectors of other classes. links: (a, b) some links between classes that join whatever links join.
+    Vectors that cannot link are in none of them.
     """
-    spark = vectors.sparkSession
-    base = valid_vectors(vectors)
+    spark = rows.sparkSession
+    base = valid_vectors(rows)
     # -0.0 and 0.0 are one value here.
     base = base.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast("float")))
-    hashed = write_table(base.withColumn("_md5", F.md5(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string"))))), "vectors")
-    firsts = hashed.groupBy("label", "_md5").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = write_table(hashed.join(firsts, ["label", "_md5"]).select("vec_id", "label", "rep", "copies", "embedding"), "classes")
-    reps = classes.where("vec_id = rep").dropDuplicates(["rep"]).select("label", "rep", "copies", "embedding")
+    keyed = base.withColumn("_key", F.md5(F.concat_ws(",", F.col("label").cast("string"), F.transform("embedding", lambda x: x.cast("string")))))
+    classes = write_table(group_of_equal(keyed, "_key", "row", "rep").drop("_key"), "classes")
+    groups = classes.groupBy("rep").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    reps = write_table(classes.where("row = rep").select("label", "rep", "embedding").join(groups, "rep").select("label", "rep", "copies", "embedding", "least"), "reps")
     sizes = {r.label: r["count"] for r in reps.groupBy("label").count().collect()}  # labels are classes of a task: few
     total = sum(sizes.values())
     rows = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30)) + 1).select("label", "rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(2 * SAMPLE).collect()
@@ -300,7 +303,10 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     found = shards.join(graph, "rep", "left").repartition(tasks, *by).groupBy(*by).applyInPandas(find, "rep long, n long, head long")
     found = write_table(found, "found")
     degrees = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    return classes, degrees.select("rep", "n"), found.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    for used in (assigned, shards, graph):
+        drop_table(used)
+    counted = reps.select("rep", "copies", "least").join(degrees, "rep", "left")
+    return classes.select("row", "rep"), counted, found.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -310,11 +316,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     links reach, itself included. A vector that cannot link, or without a label, has 0 links and is its own component. Rows
     that repeat a vec_id are vectors like any other and link if they can. No rows: no rows.
     """
-    classes, degrees, links = link(vectors, threshold)
+    rows = write_table(vectors.select("vec_id", "label", "embedding").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    classes, reps, links = link(rows, threshold)
     groups = components(links)
-    of_class = classes.select("vec_id", "rep", "copies").join(degrees, "rep", "left").join(groups, F.col("rep") == groups.node, "left")
-    per_row = of_class.select(F.col("vec_id").alias("_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id")).distinct()
-    out = vectors.select("vec_id").join(per_row, F.col("vec_id") == F.col("_id"), "left")
+    rooted = reps.join(groups, F.col("rep") == groups.node, "left").select("rep", "copies", "least", "n", F.coalesce("component", "rep").alias("root"))
+    told = group_of_equal(rooted, "root", "least", "component_id").select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id", "copies")
+    told = write_table(told, "classes-told")
+    # A class's own first row finds its class by a unique key; the other copies, which may be very many, are dealt by a salt.
+    firsts = classes.where("row = rep").join(told, "rep").select("row", "n_links", "component_id")
+    many = told.where("copies > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    others = classes.where("row <> rep").withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(16)).cast("int")).join(many, ["rep", "_salt"]).select("row", "n_links", "component_id")
+    out = rows.select("row", "vec_id").join(firsts.union(others), "row", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
@@ -322,7 +334,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 def audit_recall(vectors: DataFrame, result: DataFrame, threshold: float = THRESHOLD, every: int = 20) -> float:
     """The share of true links that were found, for the vectors whose id is divisible by `every`, against all rows, in blocks."""
     spark = vectors.sparkSession
-    base = valid_vectors(vectors)
+    base = valid_vectors(vectors.select("vec_id", "label", "embedding"))
     queries = base.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // 2000))
     true = 0

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import embed_graph, media, packing, sharding, simhash, substring, token_store
+from foliant.llm import common, embed_graph, media, packing, sharding, simhash, substring, token_store
 from foliant.llm.tokens import ids_of, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -170,6 +170,31 @@ def test_embedding_links_and_recall(spark):
     assert embed_graph.audit_recall(vectors, result) >= 0.9
 
 
+def test_repeated_vector_ids_are_vectors_of_their_own(spark):
+    """Rows that share a vec_id, with equal and with other vectors, against all pairs."""
+    r = random.Random(4)
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.01], 1)]
+    for _ in range(60):
+        a = r.choice([0.0, 0.3, 0.6, 1.2, 2.0])
+        rows.append((r.randrange(10, 30), [float(np.float32(np.cos(a))), float(np.float32(np.sin(a)))], r.choice([1, 2])))
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93]
+    groups = closure(range(len(rows)), [(i, j) for i, j in links if i < j])
+    least = {}
+    for i, g in groups.items():
+        least[g] = min(least.get(g, 1 << 40), rows[i][0])
+    want = sorted((rows[i][0], sum(a == i for a, _ in links), least[groups[i]], rows[i][0] == least[groups[i]]) for i in range(len(rows)))
+    got = embed_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(tuple(x) for x in got) == want
+
+
+def test_components_of_stars_and_paths(spark):
+    star = spark.range(1, 20_001).selectExpr("id as a", "0L as b")
+    path = spark.range(1_000_000, 1_005_000).selectExpr("id as a", "id + 1 as b")
+    got = common.components(star.union(path)).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {0: 20_001, 1_000_000: 5001}
+
+
 def test_graph_search_finds_a_large_group(spark):
     """More vectors than a shard holds, half of them near one another."""
     r = np.random.default_rng(0)
