@@ -10,10 +10,10 @@ from foliant.functions.binding import let
 from foliant.functions.links import probably_zip
 
 # The response headers that are passed on, and those of them that a changed body takes away.
-FORWARDED = ("content-type", "content-disposition", "etag", "last-modified", "cache-control", "www-authenticate")
+FORWARDED = ("content-type", "content-disposition", "last-modified", "etag")
 VALIDATORS = ("etag", "last-modified", "content-type")
 MOST_PARTS, LONG_BOOK, TRAIL_STEPS, TRAIL_NAME = 99, 200, 8, 60
-KINDLE_PREFIX = "kindle"
+KINDLE_PREFIX = "kindle-"
 PROGRESS_BYTES = 1024
 
 
@@ -66,13 +66,14 @@ def archive_link(mime: Column, url: Column) -> Column:
 def series_and_volume(url: Column) -> Column:
     """struct<series, volume> of the numbers in a path .../series/<n>[/volume/<m>]...; nulls where it has none."""
     path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
-    found = lambda g: F.nullif(F.regexp_extract(path, r"/series/(\d+)(?:/volume/(\d+))?", g), F.lit("")).cast("long")
+    found = lambda g: F.nullif(F.regexp_extract(path, r"(?i)/series/(\d+)(?:/volume/(\d+))?", g), F.lit("")).cast("long")
     return F.struct(found(1).alias("series"), found(2).alias("volume"))
 
 
-def credential_key(raw: Column) -> Column:
-    """A digest that stands for credentials where they must not be seen."""
-    return F.sha2(F.coalesce(raw, F.lit("")), 256)
+def credential_key(headers: Column) -> Column:
+    """What tells one caller's answers from another's: the credentials among a map of headers (names in lower case), in order, as a digest."""
+    own = F.array_sort(F.map_entries(F.map_filter(headers, lambda k, v: k.isin("authorization", "cookie", "x-api-key"))))
+    return F.sha2(F.array_join(F.transform(own, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n"), 256)
 
 
 def passed_headers(headers: Column, changed: bool = False) -> Column:
@@ -115,7 +116,7 @@ def book_parts(count: Column, estimate: Column) -> Column:
 
 def trail_token(rows: Column) -> Column:
     """A breadcrumb trail, array<struct<token, name>>, as one token: the last 8 rows, names cut to 60 characters."""
-    flat = lambda text: F.regexp_replace(text, r"[\t\n]", " ")
+    flat = lambda text: F.trim(F.regexp_replace(text, r"\s+", " "))
     last = F.slice(rows, F.greatest(F.lit(1), F.size(rows) - TRAIL_STEPS + 1), F.lit(TRAIL_STEPS))
     text = F.array_join(F.transform(last, lambda r: F.concat(r["token"], F.lit("\t"), F.substring(flat(r["name"]), 1, TRAIL_NAME))), "\n")
     return F.regexp_replace(F.translate(F.base64(F.encode(text, "UTF-8")), "+/\r\n", "-_"), "=+$", "")
@@ -124,7 +125,7 @@ def trail_token(rows: Column) -> Column:
 def trail_rows(token: Column) -> Column:
     """The trail of trail_token()."""
     padded = F.concat(F.translate(token, "-_", "+/"), F.expr("repeat('=', 3)").substr(F.lit(1), (4 - F.length(token) % 4) % 4))
-    lines = F.filter(F.split(F.decode(F.unbase64(padded), "UTF-8"), "\n"), lambda r: r != "")
+    lines = F.filter(F.slice(F.split(F.decode(F.unbase64(padded), "UTF-8"), "\n"), 1, TRAIL_STEPS), lambda r: r.rlike("^[A-Za-z0-9_-]+(\t|$)"))
     return F.transform(lines, lambda r: F.struct(F.split_part(r, F.lit("\t"), F.lit(1)).alias("token"), F.split_part(r, F.lit("\t"), F.lit(2)).alias("name")))
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # Digits of base-32 names; bytes of a record of strings; bytes of an index block beside its entries.
 BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-STRING_RECORD, INDEX_BLOCK, TEXT_RECORD = 0xFC00, 0xEFF0, 4096
+STRING_RECORD, INDEX_BLOCK, TEXT_RECORD = 65536 - 1024, 65536 - 192 - 1048, 4096
 
 
 def _groups(n: Column) -> Column:
     """The 7-bit groups of a number, the highest first; at least one."""
     size = F.greatest(F.lit(1), F.ceil((F.length(F.bin(n))) / 7)).cast("int")
-    return F.transform(F.sequence(F.lit(1), size), lambda i: F.shiftright(n, ((size - i) * 7)).bitwiseAND(127))
+    return F.transform(F.sequence(F.lit(1), size), lambda i: F.call_function("shiftright", n, (size - i) * 7).bitwiseAND(F.lit(127)))
 
 
 def _bytes(groups: Column) -> Column:

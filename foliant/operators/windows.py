@@ -31,3 +31,17 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values:
         left.select(*keys, time, F.lit(None).alias("_r"), F.struct(*left.columns).alias("_l"), F.lit(1).alias("_side")))
     w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return tagged.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1").select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
+
+
+def running_before(df: DataFrame, keys: list[str], order: list[str], column: str, name: str = "before", buckets: int = 64) -> DataFrame:
+    """`df` with the sum of `column` over the rows before it of its keys, in `order` (unique within the keys), without one task for a key.
+
+    Each key's first order column is cut into ranges at quantiles of all rows; sums within a range are a window of (key, range), and the sums of ranges, of
+    which a key has at most `buckets`, are added by a window over those alone. Rows that share a value of the first order column stay in one range.
+    """
+    cuts = df.agg(F.percentile_approx(F.col(order[0]).cast("double"), [i / buckets for i in range(1, buckets)]).alias("_cuts"))  # one row
+    ranged = df.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order[0]).cast("double")))).drop("_cuts")
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum(column).alias("_sum"))
+    base = sums.select(*keys, "_range", exclusive_sum("_sum", keys, ["_range"]).alias("_base"))
+    inside = ranged.withColumn("_inside", exclusive_sum(column, [*keys, "_range"], order))
+    return inside.join(base, [*keys, "_range"]).withColumn(name, F.col("_inside") + F.col("_base")).drop("_range", "_inside", "_base")

@@ -74,12 +74,6 @@ def systematic_sample(spark, sf_dir):
     return s.where((F.col("i") >= F.col("half")) & ((F.col("i") - F.col("half")) % F.col("step") == 0) & ((F.col("i") - F.col("half")) / F.col("step") < 12)).select("source", "doc_id")
 
 
-@query("""SELECT p_brand, CAST(greatest(1, ceil(count(*) * avg(p_size * 40.0) * 1264 / 1e6 * 200000 / 3.5e7)) AS BIGINT) AS parts FROM part GROUP BY p_brand""")
-def strip_part_estimate(spark, sf_dir):
-    rows = F.count("*") * F.avg(F.col("p_size") * 40.0)
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.greatest(F.lit(1), F.ceil(rows * 1264 / 1e6 * 200000 / 3.5e7)).alias("parts"))
-
-
 @query("SELECT page_id, rtrim(replace(replace(base64(encode(url)), '+', '-'), '/', '_'), '=') AS token, url AS back FROM pages")
 def token_roundtrip(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("token", encode_token(F.col("url")))

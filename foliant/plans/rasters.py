@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.functions.stats import sixteen_levels, tone
+from foliant.functions.stats import tone
 from foliant.registry import query, table
 
 
@@ -39,15 +39,6 @@ def tone_curve(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(tone(F.col("l_quantity") * 5.1, 8.0, 245.0, 1.05)), 6).alias("toned"))
 
 
-@query("""WITH v AS (SELECT l_linestatus, least(15, greatest(0, CAST(round_even((l_quantity * 5 + ((l_orderkey % 8) * 8 + l_linenumber % 8 + 0.5) / 64 * 17 - 8.5) / 17, 0) AS INT))) AS level FROM lineitem)
-SELECT l_linestatus, level, count(*) AS pixels FROM v GROUP BY ALL""")
-def bayer_quantise(spark, sf_dir):
-    """Sixteen levels with a threshold for each cell of an 8 x 8 matrix."""
-    t = ((F.col("l_orderkey") % 8) * 8 + F.col("l_linenumber") % 8 + 0.5) / 64
-    level = sixteen_levels(F.col("l_quantity") * 5 + t * 17 - 8.5)
-    return table(spark, sf_dir, "lineitem").groupBy("l_linestatus", level.alias("level")).agg(F.count("*").alias("pixels"))
-
-
 @query("""WITH v AS (SELECT l_partkey // 50 AS cell, l_quantity / 10 AS z FROM lineitem), s AS (SELECT cell, floor(z) AS level, 1 - (z - floor(z)) AS w, z FROM v UNION ALL SELECT cell, floor(z) + 1, z - floor(z), z FROM v)
 SELECT cell, CAST(level AS BIGINT) AS level, round(sum(w), 6) AS weight, round(sum(w * z), 6) AS total FROM s GROUP BY cell, level""")
 def bilateral_grid(spark, sf_dir):

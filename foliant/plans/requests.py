@@ -83,12 +83,12 @@ def ttl_cache(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT user_id, min(ts) AS over FROM events WHERE event_type = 'error' GROUP BY user_id)
-SELECT e.user_id, count(*) AS updates, arg_max(e.event_id, e.ts) AS last_event FROM events e LEFT JOIN d USING (user_id) WHERE d.over IS NULL OR e.ts <= d.over GROUP BY e.user_id""")
+SELECT e.user_id, count(*) AS updates, arg_max(e.event_id, (e.ts, e.event_id)) AS last_event FROM events e LEFT JOIN d USING (user_id) WHERE d.over IS NULL OR e.ts <= d.over GROUP BY e.user_id""")
 def ended_updates(spark, sf_dir):
     """Updates count until the first that ends a download; later ones change nothing."""
     w = Window.partitionBy("user_id")
     e = table(spark, sf_dir, "events").withColumn("over", F.min(F.when(F.col("event_type") == "error", F.col("ts"))).over(w))
-    return e.where("over is null or ts <= over").groupBy("user_id").agg(F.count("*").alias("updates"), F.max_by("event_id", "ts").alias("last_event"))
+    return e.where("over is null or ts <= over").groupBy("user_id").agg(F.count("*").alias("updates"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
 
 
 @query("""WITH z AS (SELECT vec_id, list_transform(embedding, lambda x: (x - list_avg(list_transform(embedding, lambda y: y::DOUBLE))) / (list_stddev_pop(list_transform(embedding, lambda y: y::DOUBLE)) + 1e-6)) AS z FROM embeddings),

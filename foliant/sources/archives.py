@@ -51,7 +51,8 @@ def in_order(entries: DataFrame) -> DataFrame:
 
 def named(pages: DataFrame, digits: int = 4) -> DataFrame:
     """Pages under padded numbers with the suffix that their bytes ask for; copies keep their names."""
-    number = F.lpad(F.col("page").cast("string"), digits, "0")
+    text = F.col("page").cast("string")
+    number = F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)
     return pages.withColumn("name", F.when(F.col("kind") == "page", F.concat(number, suffix_of(F.col("content"), F.col("name")))).otherwise(F.col("name")))
 
 
