@@ -94,46 +94,32 @@ def group_of_equal(rows: DataFrame, key: str, id_column: str, name: str, salts:
     return own.join(salted, [key, "_salt"], "left").drop("_salt").withColumn(name, F.coalesce(name, id_column))
 
 
-def with_least(rows: DataFrame, degrees: DataFrame, hub: int) -> DataFrame:
-    """`rows` (a, b) with `m`, the least neighbour of a, from `degrees` (a, m, n).
-
-    The nodes with more than `hub` neighbours are broadcast: of e edges, fewer than 2 * e / hub nodes. The others have at most `hub` rows in a task.
-    """
-    hubs = F.broadcast(degrees.where(F.col("n") > hub).select(F.col("a").alias("_a"), F.col("m").alias("_m")))
-    flagged = rows.join(hubs, F.col("a") == F.col("_a"), "left")
-    others = flagged.where("_a is null").select("a", "b").join(degrees.where(F.col("n") <= hub).select("a", "m"), "a")
-    return flagged.where("_a is not null").select("a", "b", F.col("_m").alias("m")).unionByName(others)
-
-
-#: Nodes, at most, that a round of components() broadcasts; neighbours below which a node is never a hub; rounds before it gives up.
-MOST_HUBS, LEAST_HUB, ROUNDS = 10_000, 32, 100
+#: Rounds before components() gives up: they grow with the logarithm of the longest path.
+ROUNDS = 100
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b), component being the smallest node that can be reached.
 
     Alternating large and small stars. No neighbour list is gathered: each round only takes the least neighbour of a node,
-    and Spark combines that before it shuffles; hubs get theirs by a bounded broadcast, see with_least(). Each round is written to the shared folder.
-    Empty edges: empty result. Rounds grow with the logarithm of the longest path; it goes on until nothing changes, and raises after ROUNDS.
+    and Spark combines that before it shuffles. Each round is written to the shared folder. Empty edges: empty result. It goes on until
+    nothing changes, and raises after ROUNDS.
     """
     known = write_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    seen = state(known)
+    seen = None
     for _ in range(ROUNDS):
-        if not seen[0]:
-            break
-        hub = max(LEAST_HUB, 2 * seen[0] // MOST_HUBS)
-        least = lambda rows: rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        degrees = least(both).select("a", F.least("a", "m").alias("m"), "n")
-        large = with_least(both.where("b > a"), degrees, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = with_least(large, least(large), hub)
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a")
         found = write_table(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         drop_table(known)
-        known, before = found, seen
-        seen = state(known)
-        if seen == before:
+        known = found
+        now = known.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     nodes = known.select(F.col("a").alias("node"), F.col("b").alias("component"))

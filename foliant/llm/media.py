@@ -44,7 +44,7 @@ def from_wav(data: bytes) -> bytes:
 
 
 def peaks_of(payload: bytes) -> np.ndarray:
-    """(frame, bin) of each frame's strongest local maxima of magnitude, by frame and then by strength; ties: the lower bin."""
+    """(frame, bin) of each frame's strongest local maxima of magnitude, by frame and then by strength; of equal ones the lower bin."""
     sound = np.frombuffer(payload, np.uint8)
     frames = np.lib.stride_tricks.sliding_window_view(sound, FRAME)[::HOP]
     found = []
@@ -53,11 +53,13 @@ def peaks_of(payload: bytes) -> np.ndarray:
         power = np.abs(np.fft.rfft(part, axis=1)[:, 1:])
         inner = power[:, 1:-1]
         top = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, 0)
-        best = np.argpartition(-top, 4 * PEAKS, axis=1)[:, : 4 * PEAKS]
-        best.sort(axis=1)
-        value = np.take_along_axis(top, best, 1)
-        order = np.argsort(-value, axis=1, kind="stable")[:, :PEAKS]
-        bins, value = np.take_along_axis(best, order, 1) + 2, np.take_along_axis(value, order, 1)
+        best, value = [], []
+        for _ in range(PEAKS):  # argmax gives the lowest of equal ones
+            at_bin = top.argmax(1)[:, None]
+            best.append(at_bin)
+            value.append(np.take_along_axis(top, at_bin, 1))
+            np.put_along_axis(top, at_bin, 0, 1)
+        bins, value = np.concatenate(best, 1) + 2, np.concatenate(value, 1)
         row, col = np.nonzero(value > 0)
         found.append(np.stack([row + at, bins[row, col]], 1))
     return np.concatenate(found)
@@ -87,7 +89,7 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, payload, fingerprint): the stored sound read back, and its time-coded array of peak pairs.
+    """(doc_id, n_bytes, media, payload, fingerprint), other columns left alone: the stored sound read back, and its time-coded array of peak pairs.
 
     Equal media have equal fingerprints. Rows that repeat a doc_id are kept; no rows, no result.
     """
@@ -105,5 +107,5 @@ def digests(features: DataFrame) -> DataFrame:
     return features.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -32)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), F.lower(F.lpad(F.hex(F.xxhash64("fingerprint")), 16, "0")).alias("feature"),
+        F.sha2("media", 256).alias("media_sha256"), F.lower(F.lpad(F.hex(F.xxhash64("fingerprint")), 16, "0")).alias("feature"), "fingerprint",
     )

@@ -60,7 +60,7 @@ def unit_draw(doc_id: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, margins: dict[str, dict[str, float] | None], tokens: Column, seed: str = "mix") -> DataFrame:
-    """`docs` with `tokens`, `probability`, `draw` and `kept`.
+    """`docs` with `tokens`, `probability`, `draw` and `kept`, in place of columns of those names.
 
     The probability of a cell is its raked weight over its tokens, scaled so that the largest is 1: the sample has the
     target shares in expectation and is as large as they allow. A cell without tokens (empty texts) is kept whole. Rows

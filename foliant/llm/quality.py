@@ -127,7 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "qualit
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """`docs` with the probability, from 0 to 1, that the whole text is good; null and empty texts are one chunk of zeros."""
+    """`docs` with the probability, from 0 to 1, that the whole text is good, as column `name`, in place of one of that name.
+
+    Null and empty texts are one chunk of zeros; equal texts get equal scores, and rows that repeat are all kept. No rows: none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

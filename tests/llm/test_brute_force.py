@@ -151,6 +151,41 @@ def test_media_round_trip(spark):
         assert list(r.fingerprint) == sorted(set(r.fingerprint))
 
 
+def slow_peaks(payload):
+    """Pairs of peaks by a plain Fourier sum."""
+    n, frames = 576, []
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1)) for i in range(n)]
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(1, n // 2 + 1), np.arange(n)) / n)
+    for at in range(0, len(payload) - n + 1, 288):
+        power = np.abs(waves @ np.array([(b - 128) * w for b, w in zip(payload[at : at + n], window)]))
+        tops = sorted((-power[k], k + 1) for k in range(1, len(power) - 1) if power[k] > power[k - 1] and power[k] >= power[k + 1])
+        frames.append([b for _, b in tops[:3]])
+    peaks = [(f, b) for f, bins in enumerate(frames) for b in bins]
+    return sorted({f << 32 | b << 16 | c << 4 | (g - f) for i, (f, b) in enumerate(peaks) for g, c in peaks[i + 1 : i + 9] if g - f <= 2})
+
+
+def test_media_against_plain_sums(spark):
+    """Payload, stored form and peak pairs of texts without ties of strength, worked out plainly."""
+    import hashlib
+    import io
+    import wave
+
+    texts = {i: t for i, t in texts_of(spark).items() if t and len(t) < 4000 and len(set(t)) > 12}
+    some = dict(sorted(texts.items())[:25])
+    got = {r.doc_id: r for r in media.digests(media.media_features(media.store_media(spark.createDataFrame(list(some.items()), "doc_id long, text string")))).collect()}
+    for doc, text in some.items():
+        raw = text.encode()
+        payload = raw + b"\xff" * (-len(raw) % 576)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", ""))
+            w.writeframes(payload)
+        r = got[doc]
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-32:]))
+        assert (r.payload_sha256, r.media_bytes, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
+        assert list(r.fingerprint) == slow_peaks(payload)
+
+
 def test_embedding_links_and_recall(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.label, np.array(r.embedding, np.float64)) for r in vectors.collect()]

@@ -41,6 +41,22 @@ def test_no_rows(spark, docs, name):
     assert OPERATORS[name](spark, docs([])).count() == 0
 
 
+CLASHES = ["score", "tokens", "probability", "draw", "kept", "topic", "_doc", "_spans", "_salt", "row", "cut", "spans", "label"]
+
+
+def test_columns_of_any_name_stay(spark):
+    """The stages' own names as columns of the documents: all come through as they were."""
+    import corpus_pipeline
+
+    rows = [(i, f"some text {i} " * (i % 5 + 1), "en", "src1", 9, *[f"{c}{i}" for c in CLASHES]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    want = {r.doc_id: r for r in docs.collect()}
+    for got in (corpus_pipeline.mix_sources(spark, docs, ""), substring.remove_passages(docs, substring.find_passages(docs)), simhash.keep_first(docs)):
+        assert got.columns == docs.columns and all(all(r[c] == want[r.doc_id][c] for c in CLASHES) for r in got.collect())
+    got = quality.score(docs, quality.train(docs, labels(spark, []), F.lit(True)), name="other")
+    assert all(r["score"] == want[r.doc_id]["score"] and r["other"] == 1.0 for r in got.collect())
+
+
 def test_packing_of_odd_rows_is_whole(spark, docs):
     got = packing.pack(docs(ODD), BYTES).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     want = {}
