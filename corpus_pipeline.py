@@ -15,10 +15,15 @@ from foliant.llm.learning import fold
 from foliant.llm.tokens import tokenizer_path
 
 
+def whole_rows(docs: DataFrame, *names: str) -> DataFrame:
+    """The rows as one column, and those that an operator needs beside it: what the operator adds clashes with nothing."""
+    return docs.select(F.struct("*").alias("_row"), *names)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.7 or more go; the model learns from labelled rows outside the held-out third."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
-    return toxicity.score(docs, model, name="_toxicity").where(F.col("_toxicity") < 0.7).select(docs.columns)
+    return toxicity.score(whole_rows(docs, "text"), model).where("score < 0.7").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents with the target shares of sources, languages and topics."""
-    return queries.mixed(docs).where("kept").select(docs.columns)
+    return queries.mixed(whole_rows(docs, "doc_id", "text", "source", "lang")).where("kept").select("_row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
