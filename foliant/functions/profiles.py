@@ -15,7 +15,18 @@ RULES = (
     ("defringe_strength", "between 0 and 1"), ("defringe_deadband", ">= 0"), ("usm_amount", ">= 0"), ("autocrop_max_frac", "between 0 and 1"), ("mono_chroma_threshold", ">= 0"), ("gamma", "> 0"),
     ("jpeg_quality", "between 1 and 100"), ("webp_quality", "between 1 and 100"), ("webp_effort", "between 0 and 6"), ("png_effort", "between 1 and 10"), ("palette_colours", "between 2 and 256"),
     ("png_compression", "between 0 and 9"), ("saturation", ">= 0"), ("chroma_ratio", "between 0.1 and 1"), ("chroma_blur", "between 0 and 10"),
+    ("defringe_angle", ">= 0"), ("upscale_max", "between 1 and 8"), ("strip_scale_max", "between 1 and 8"), ("descreen_max_megapixels", "<= 64"), ("usm_sigma", "<= 10"), ("autocrop_threshold", "between 0 and 254"),
 )
+# Open bounds, as (field, above, below); and rules over two fields, as (fields named, what must hold).
+OPEN_BOUNDS = (("descreen_width", 0, 0.5), ("descreen_min_freq", 0, 0.5), ("defringe_min_freq", 0, 0.5), ("defringe_tolerance", 0, None), ("descreen_max_megapixels", 0, None), ("usm_sigma", 0, None))
+CROSS_RULES = (
+    ("black, white", ("black", "white"), "0 <= black and black < white and white <= 255"),
+    ("defringe, panel", ("defringe", "panel"), "defringe = 'none' or panel = 'kaleido'"),
+    ("width, height", ("width", "height", "fmt"), "fmt = 'raw' or (width > 0 and height > 0)"),
+    ("defringe_tolerance", ("defringe_tolerance",), "defringe_tolerance <= 45"),
+    ("defringe_angle", ("defringe_angle",), "defringe_angle < 360"),
+)
+CHOICES = (("auto_mono_fmt", ("png4", "png8")),)
 
 
 def read_toml(spark: SparkSession, text: str) -> DataFrame:
@@ -59,6 +70,7 @@ def inherited(raw: DataFrame) -> DataFrame:
 def problems(columns: list[str]) -> Column:
     """The names of the fields, of those in `columns` that have a rule, whose values break it; a null value breaks none."""
     broken = [F.when(~F.expr(f"`{f}` {rule}"), F.lit(f)) for f, rule in RULES if f in columns]
-    if {"black", "white"} <= set(columns):
-        broken.append(F.when(~F.expr("0 <= black and black < white and white <= 255"), F.lit("black, white")))
-    return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
+    broken += [F.when(~((F.col(f) > low) & (F.lit(True) if high is None else F.col(f) < high)), F.lit(f)) for f, low, high in OPEN_BOUNDS if f in columns]
+    broken += [F.when(~F.expr(rule), F.lit(named)) for named, needed, rule in CROSS_RULES if set(needed) <= set(columns)]
+    broken += [F.when(~F.col(f).isin(*of), F.lit(f)) for f, of in CHOICES if f in columns]
+    return F.array_distinct(F.array_compact(F.array(*broken))) if broken else F.array().cast("array<string>")
