@@ -115,8 +115,8 @@ def varints(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(k < 2097152).select("o_orderkey", F.hex(records.forward_varint(k)).alias("forward"), F.hex(records.backward_varint(k)).alias("backward"), records.base32(k, 6).alias("base32"))
 
 
-@query("""WITH f AS (SELECT role, text, min(conv_id * 100 + turn) AS at, 2 + octet_length(encode(text)) AS n FROM conversations WHERE text IS NOT NULL AND octet_length(encode(text)) BETWEEN 128 AND 16383 AND conv_id < 40 GROUP BY role, text),
-s AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY at, text) AS i FROM f),
+@query("""WITH f AS (SELECT role, text, min(conv_id * 100 + turn) AS pos, 2 + octet_length(encode(text)) AS n FROM conversations WHERE text IS NOT NULL AND octet_length(encode(text)) BETWEEN 128 AND 16383 AND conv_id < 40 GROUP BY role, text),
+s AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY pos, text) AS i FROM f),
 r(role, i, record, used, place) AS (SELECT role, i, 0, n, 0 FROM s WHERE i = 1 UNION ALL SELECT s.role, s.i, CASE WHEN r.used + n > 4096 AND r.used > 0 THEN record + 1 ELSE record END, CASE WHEN r.used + n > 4096 THEN n ELSE r.used + n END, CASE WHEN r.used + n > 4096 THEN 0 ELSE r.used END FROM r JOIN s ON s.role = r.role AND s.i = r.i + 1)
 SELECT role, md5(text) AS text, CAST(record * 65536 + place AS BIGINT) AS at_byte FROM r JOIN s USING (role, i)""".replace("WITH f", "WITH RECURSIVE f"))
 def interned_strings(spark, sf_dir):
