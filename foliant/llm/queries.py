@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_graph, media, mixing, packing, quality, sharding, simhash, substring, token_store, toxicity
+from . import embed_graph, media, mixing, packing, quality, repair, sharding, simhash, substring, token_store, toxicity
 from .common import table
 from .learning import fold
 from .tokens import tokenizer_path
@@ -79,13 +79,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_token_store, op4_media, op5_simhash, op6_mixing, op7_sharding, op8_packing, op9_embedding_graph, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_token_store, op4_media, op5_simhash, op6_mixing, op7_sharding, op8_packing, op9_embedding_graph, op10_toxicity, op11_repair, pipeline)}
 
 
 def _mixing_sql() -> str:
@@ -117,4 +121,39 @@ def _mixing_sql() -> str:
     FROM docs d LEFT JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.lang IS NOT DISTINCT FROM d.lang AND p.topic = d.topic"""
 
 
-ORACLE_SQL = {"op6_mixing": _mixing_sql()}
+def _repair_sql() -> str:
+    """The same repair, from the last row to the first: of each state of the grammar the least (cost, edits) to the end, one row a step."""
+    step = lambda x: f"CASE WHEN {x} & 1 = 1 THEN xor({x} >> 1, 3988292384) ELSE {x} >> 1 END"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: {step('x')})), 4294967295)"
+    white = r"[^\x20\x09-\x0D]"
+    far = "{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}"
+    # a way on: cost, edit, the rows it gives, and where it leads; ways that aren't there are dropped
+    way = lambda when, cost, edit, rows, to: f"CASE WHEN {when} THEN {{'c': {cost} + {to}.c, 'a': '{edit}' || {to}.a, 't': {rows} || {to}.t}} END"
+    goes = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    row = {}
+    for p in range(4):
+        ways = [way("true", 4, "D", "[]::VARCHAR[]", f"w{p}")]
+        for c, q in goes[p].items():
+            ways.append(way(f"NOT gone AND left(role, 1) = '{c}'", "cut", "K", "[role || ':' || text]", f"w{q}"))
+            if c != "s":
+                ways.append(way("NOT gone", "3 + cut", "R", f"['{'user' if c == 'u' else 'assistant'}:' || text]", f"w{q}"))
+        row[p] = f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+    insert = lambda p, cols: {q: f"list_min([{cols}{q}, {{'c': 3 + {cols}{p}.c, 'a': 'I' || {cols}{p}.a, 't': ['{'assistant:' if p == 3 else 'user:'}'] || {cols}{p}.t}}])" for q in ((2,) if p == 3 else (0, 1, 3))}
+    first, second, third = insert(3, "r"), insert(2, "x"), insert(3, "y")
+    closed = lambda body: (
+        f"SELECT conv_id, i, y0 AS w0, y1 AS w1, {third[2]} AS w2, y3 AS w3 FROM (SELECT conv_id, i, {second[0]} AS y0, {second[1]} AS y1, x2 AS y2, {second[3]} AS y3 FROM (SELECT conv_id, i, r0 AS x0, r1 AS x1, {first[2]} AS x2, r3 AS x3 FROM ({body})))"
+    )
+    return rf"""WITH RECURSIVE k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS how FROM k),
+e AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE how <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen FROM e),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{white}') THEN 1 WHEN seen THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM n),
+r AS (SELECT conv_id, i, role, text, fault IN (1, 2) AS gone, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS cut FROM f),
+s AS (SELECT conv_id, count(i) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (earlier IS NOT NULL AND left(earlier, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN f USING (conv_id) GROUP BY conv_id),
+w AS ({closed(f"SELECT conv_id, rows AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS r0, {far} AS r1, {far} AS r2, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS r3 FROM s")}
+  UNION ALL {closed(f"SELECT w.conv_id, w.i - 1 AS i, {row[0]} AS r0, {row[1]} AS r1, {row[2]} AS r2, {row[3]} AS r3 FROM w JOIN r ON r.conv_id = w.conv_id AND r.i = w.i")})
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(w0.c AS BIGINT) AS cost, w0.a AS audit, sha256(array_to_string(w0.t, chr(10))) AS repaired_sha256 FROM w JOIN s USING (conv_id) WHERE w.i = 0"""
+
+
+ORACLE_SQL = {"op6_mixing": _mixing_sql(), "op11_repair": _repair_sql()}
