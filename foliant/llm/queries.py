@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_graph, media, mixing, packing, quality, repair, sharding, simhash, substring, token_store, toxicity
+from . import embed_graph, media, mixing, packing, phrases, quality, repair, sharding, simhash, substring, token_store, toxicity
 from .common import table
 from .learning import fold
 from .tokens import tokenizer_path
@@ -83,13 +83,17 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit(repair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_token_store, op4_media, op5_simhash, op6_mixing, op7_sharding, op8_packing, op9_embedding_graph, op10_toxicity, op11_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_token_store, op4_media, op5_simhash, op6_mixing, op7_sharding, op8_packing, op9_embedding_graph, op10_toxicity, op11_repair, op12_phrases, pipeline)}
 
 
 def _mixing_sql() -> str:
@@ -147,7 +151,8 @@ def _repair_sql() -> str:
 d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS how FROM k),
 e AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN how = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE how <> 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen FROM e),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{white}') THEN 1 WHEN seen THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM n),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{white}') THEN 1 WHEN seen THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM n),
 r AS (SELECT conv_id, i, role, text, fault IN (1, 2) AS gone, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS cut FROM f),
 s AS (SELECT conv_id, count(i) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
   count(*) FILTER (earlier IS NOT NULL AND left(earlier, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN f USING (conv_id) GROUP BY conv_id),
@@ -156,4 +161,19 @@ w AS ({closed(f"SELECT conv_id, rows AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]
 SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(w0.c AS BIGINT) AS cost, w0.a AS audit, sha256(array_to_string(w0.t, chr(10))) AS repaired_sha256 FROM w JOIN s USING (conv_id) WHERE w.i = 0"""
 
 
-ORACLE_SQL = {"op6_mixing": _mixing_sql(), "op11_repair": _repair_sql()}
+#: The same by counting every phrase.
+_PHRASES_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, k, words[i : i + k - 1] AS words FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(words) >= k)),
+f AS MATERIALIZED (SELECT lang, k, words, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, words, a FROM f WHERE k >= 2 AND a >= 100),
+cut AS (SELECT c.*, l.a AS l, r.a AS r, t.n, h, (1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a) AS score FROM (SELECT *, unnest(range(1, k)) AS h FROM c) c JOIN t USING (lang) JOIN f l ON l.lang = c.lang AND l.words = c.words[1 : h] JOIN f r ON r.lang = c.lang AND r.words = c.words[h + 1 : c.k]),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, h) = 1),
+inner_ AS (SELECT DISTINCT lang, words[i : i + m - 1] AS words, a FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+held AS (SELECT lang, words, max(a) AS a FROM inner_ GROUP BY ALL),
+kept AS (SELECT w.*, array_to_string(w.words, ' ') AS phrase FROM worst w LEFT JOIN held h ON h.lang = w.lang AND h.words = w.words WHERE h.a IS NULL OR h.a < w.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000"""
+
+
+ORACLE_SQL = {"op6_mixing": _mixing_sql(), "op11_repair": _repair_sql(), "op12_phrases": _PHRASES_SQL}
