@@ -7,9 +7,9 @@ what need not be counted.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +25,55 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BITS, SLICE_BITS = 23, 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_TOKENS = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
-_BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
+#: What a byte is: of a word (0), between words (1), between pieces (2).
+_KIND = np.array([2 if c in b".,;:!?\n\x0b\x0c\r" else 1 if c in b" \t" else 0 for c in range(256)], np.uint8)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
-PARTIAL = "lang string, phrase string, n long, slice int, counts binary"
-_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+PARTIAL = "lang string, n long, slice int, counts binary, phrases array<string>, times array<long>"
+_SCHEMA = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary()), ("phrases", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
 
-class _Words(dict):
-    """Words of one language by number, as they come; breaks between pieces are -1."""
-
-    def __init__(self) -> None:
-        self.names: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = -1 if word[0] in _BREAKS else len(self.names)
-        if number >= 0:
-            self.names.append(word)
-        self[word] = number
-        return number
+class Words:
+    """The words of one language's texts: where they are, the piece each is of, and two numbers that tell words apart.
 
+    Words of up to 15 bytes are told apart by those bytes and their count, longer ones by two hashes of 64 bits.
+    """
 
-def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for seed in [xxhash.xxh32_intdigest(lang.encode())] for w in words), np.uint64, len(words))
+    def __init__(self, text: bytes, lang: str) -> None:
+        self.raw = text.translate(_LOWER) + bytes(24)
+        kind = _KIND[np.frombuffer(self.raw, np.uint8)]
+        kind[-24:] = 2
+        inside = np.empty(kind.size + 1, bool)
+        inside[0], inside[1:] = False, kind == 0
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.start, self.stop = edge[::2], edge[1::2]
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.start]
+        size = self.stop - self.start
+        eight = np.ndarray((len(self.raw) - 7,), "<u8", self.raw, strides=(1,))
+        self.first = eight[self.start] & _MASK[np.minimum(size, 8)]
+        self.second = eight[self.start + 8] & _MASK[np.clip(size - 8, 0, 8)] | (np.minimum(size, 15) << 56).astype(np.uint64)
+        for i in np.flatnonzero(size > 15):
+            word = self.raw[self.start[i] : self.stop[i]]
+            self.first[i], self.second[i] = xxhash.xxh64_intdigest(word) | 0xFF << 56, xxhash.xxh64_intdigest(word, 1)  # no text has the byte 255
+        self.hash = _longer(self.first, self.second) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+
+    def phrase(self, at: int, k: int) -> str:
+        return b" ".join([self.raw[a:z] for a, z in zip(self.start[at : at + k].tolist(), self.stop[at : at + k].tolist())]).decode()
+
+    def counted(self, at: np.ndarray, k: int, grams: np.ndarray) -> Iterator[tuple[str, int]]:
+        """(phrase, times) of the `k` words from each place, `grams` being their hashes; words are compared, so that equal hashes alone count for nothing."""
+        order = np.argsort(grams)
+        at, grams = at[order], grams[order]
+        new = np.concatenate(([True], grams[1:] != grams[:-1]))
+        for j in range(k):
+            for c in (self.first, self.second):
+                word = c[at + j]
+                differs = (word[1:] != word[:-1]) & ~new[1:]
+                if differs.any():  # two phrases of one hash: their places may alternate, which their sum by phrase puts right
+                    new[1:] |= differs
+        cut = np.flatnonzero(new)
+        for i, n in zip(at[cut].tolist(), np.diff(cut, append=at.size).tolist()):
+            yield self.phrase(i, k), n
 
 
 def _longer(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -67,37 +93,25 @@ def _sliced(counts: np.ndarray, least: int) -> Iterator[tuple]:
     kind = np.min_scalar_type(least)
     for i, part in enumerate(counts.reshape(-1, min(counts.size, 1 << SLICE_BITS))):
         if part.any():
-            yield None, None, None, i, np.minimum(part, least).astype(kind).tobytes()
+            yield None, None, i, np.minimum(part, least).astype(kind).tobytes(), None, None
 
 
-def _batches(rows: Iterator[tuple], at_once: int = 20_000, large: int = 64) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], at_once: int = 64) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    held = 0
     for row in rows:
         out.append(row)
-        held += row[4] is not None
-        if len(out) >= at_once or held >= large:
+        if len(out) >= at_once:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
-            out, held = [], 0
+            out = []
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
 
-def _numbered(ids: np.ndarray, at: np.ndarray, k: int, words: int) -> np.ndarray:
-    """A number for the `k` words from each place, equal for equal words only."""
-    x, size = ids[at].astype(np.int64), words
-    for j in range(1, k):
-        if size > (1 << 62) // words:
-            u, x = np.unique(x, return_inverse=True)
-            size = len(u)
-        x, size = x * words + ids[at + j], size * words
-    return x
-
-
 def _pass(docs: DataFrame, k: int, longest: int, least: int, bits: int, frequent: bytes | None, possible: bytes | None) -> DataFrame:
-    """Exact counts of the candidates of `k` words, and bucket counts of k + 1 words; with k = 0 the words of each language (phrase null) and the buckets of words."""
+    """Exact counts of the candidates of `k` words, by language and hash; and bucket counts of k + 1 words. With k = 0 the words of each language and the buckets of words."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((frequent, possible))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_bits = lambda b: np.unpackbits(np.frombuffer(b, np.uint8)).view(bool)
@@ -106,45 +120,47 @@ def _pass(docs: DataFrame, k: int, longest: int, least: int, bits: int, frequent
         held: Counter = Counter()
 
         def one(lang: str, texts: list[str]) -> None:
-            words = _Words()
-            tokens = _TOKENS.findall("\n".join(texts).encode().translate(_LOWER))
-            ids = np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens))
-            del tokens
-            if not words.names:
-                return
-            hashes = _word_hashes(lang, words.names)
+            words = Words("\n".join(texts).encode(), lang)
+            h, piece = words.hash, words.piece
             if k == 0:
-                each = np.bincount(ids[ids >= 0], minlength=len(words.names))
-                np.add.at(ahead, _buckets(hashes, bits), each.astype(np.uint32))
-                held[lang, None] += int(each.sum())
+                np.add.at(ahead, _buckets(h, bits), np.uint32(1))
+                held[lang, None] += h.size
+                return
+            if h.size < k:
                 return
-            single = hashes[ids]  # of a break any hash, but no phrase has breaks
             if k == 1:
-                likely = own[_buckets(hashes, bits)]
-                on = (ids >= 0) & likely[ids]
-                grams = single
+                grams, on = h, own[_buckets(h, bits)]
             else:
-                shorter = single
-                ok = ids >= 0
+                shorter = h
                 for j in range(1, k - 1):
-                    shorter = _longer(shorter[:-1], single[j:])
-                    ok = ok[:-1] & (ids[j:] >= 0)
-                ok &= earlier[_buckets(shorter, bits)]
-                grams = _longer(shorter[:-1], single[k - 1 :])
-                on = ok[:-1] & ok[1:]
+                    shorter = _longer(shorter[:-1], h[j:])
+                ok = earlier[_buckets(shorter, bits)]
+                on = ok[:-1] & ok[1:] & (piece[k - 1 :] == piece[: piece.size - k + 1])
+                grams = _longer(shorter[:-1], h[k - 1 :])
                 at = np.flatnonzero(on)
                 on[at] = own[_buckets(grams[at], bits)]
+            if k < longest and h.size > k:
+                more = np.flatnonzero(on[:-1] & on[1:] & (piece[k:] == piece[: piece.size - k]))
+                np.add.at(ahead, _buckets(_longer(grams[more], h[more + k]), bits), np.uint32(1))
             at = np.flatnonzero(on)
-            if k < longest:
-                more = np.flatnonzero(on[:-1] & on[1:])
-                np.add.at(ahead, _buckets(_longer(grams[more], single[more + k]), bits), np.uint32(1))
-            _, first, each = np.unique(_numbered(ids, at, k, len(words.names)), return_index=True, return_counts=True)
-            rows = ids[at[first][:, None] + np.arange(k)]
-            for row, n in zip(rows.tolist(), each.tolist()):
-                held[lang, b" ".join([words.names[i] for i in row])] += n
+            for phrase, n in words.counted(at, k, grams[at]) if at.size else ():
+                held[lang, phrase] += n
+
+        def told() -> Iterator[tuple]:
+            by: dict[tuple, tuple[list, list]] = {}
+            for (lang, phrase), n in held.items():
+                if phrase is None:
+                    yield lang, n, None, None, None, None
+                else:
+                    names, times = by.setdefault((lang, xxhash.xxh32_intdigest(phrase.encode()) % parts), ([], []))
+                    names.append(phrase)
+                    times.append(n)
+            for (lang, part), (names, times) in by.items():
+                yield lang, None, part, None, names, times
+            held.clear()
 
         def rows() -> Iterator[tuple]:
-            for b in slices(batches, 1 << 16, 6 << 20):
+            for b in slices(batches, 1 << 16, 4 << 20):
                 by_lang: dict[str, list[str]] = {}
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     by_lang.setdefault(lang, []).append(text)
@@ -156,48 +172,60 @@ def _pass(docs: DataFrame, k: int, longest: int, least: int, bits: int, frequent
             if ahead is not None:
                 yield from _sliced(ahead, least)
 
-        def told() -> Iterator[tuple]:
-            for (lang, phrase), n in held.items():
-                yield lang, None if phrase is None else phrase.decode(), n, None, None
-            held.clear()
-
         return _batches(rows())
 
     return write_table(docs.mapInArrow(count, PARTIAL), f"phrases{k}")
 
 
-def _bitmap(partial: DataFrame, least: int, bits: int) -> bytes:
+def _summed(partial: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, n) of the phrases whose counts come to `least`."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+        for b in batches:
+            for lang, names, times in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for phrase, n in zip(names, times):
+                    sums[lang, phrase] += n
+        rows = [(lang, phrase, n) for (lang, phrase), n in sums.items() if n >= least]
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 10_000])], ["lang", "phrase", "n"])
+
+    parts = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partial.where("phrases is not null").select("lang", "phrases", "times", "slice").repartition(parts, "slice").mapInArrow(add, "lang string, phrase string, n long")
+
+
+def _bitmap(counts: DataFrame, least: int, bits: int) -> bytes:
     """One bit for each bucket: whether its counts come to `least`. The driver gets 2^bits / 8 bytes in all, whatever the table."""
     kind, size = np.min_scalar_type(least), min(1 << bits, 1 << SLICE_BITS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, counts in zip(b.column(0).to_pylist(), b.column(1)):
-                sums[i] = sums.get(i, np.zeros(size, np.uint64)) + np.frombuffer(counts.as_buffer(), kind)
+            for i, own in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[i] = sums.get(i, np.zeros(size, np.uint64)) + np.frombuffer(own.as_buffer(), kind)
         for i, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["slice", "bits"])
 
-    found = partial.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, bits binary").collect()
+    found = counts.where("counts is not null").select("slice", "counts").repartition("slice").mapInArrow(add, "slice int, bits binary").collect()
     parts = {r["slice"]: bytes(r["bits"]) for r in found}
-    return b"".join(parts.get(i, bytes(size // 8)) for i in range((1 << bits) // size))
+    return b"".join(parts.get(i, bytes(-(-size // 8))) for i in range((1 << bits) // size))
 
 
-def _marked(frequent: DataFrame, least: int, bits: int) -> DataFrame:
-    """The buckets of frequent phrases, as counts of `least`."""
+def _marked(frequent: DataFrame, k: int, least: int, bits: int) -> DataFrame:
+    """The buckets of frequent phrases of `k` words, as counts of `least`."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            by_lang: dict[str, list[list[bytes]]] = {}
+            by_lang: dict[str, list[str]] = {}
             for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(phrase.encode().split(b" "))
+                by_lang.setdefault(lang, []).append(phrase)
             for lang, phrases in by_lang.items():
-                hashes = None
-                for column in zip(*phrases):
-                    h = _word_hashes(lang, list(column))
-                    hashes = h if hashes is None else _longer(hashes, h)
-                counts[_buckets(hashes, bits)] = least
+                h = Words("\n".join(phrases).encode(), lang).hash
+                gram = h[::k]
+                for j in range(1, k):
+                    gram = _longer(gram, h[j::k])
+                counts[_buckets(gram, bits)] = least
         return _batches(_sliced(counts, least))
 
     return frequent.select("lang", "phrase").mapInArrow(mark, PARTIAL)
@@ -210,21 +238,18 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     partial = _pass(own, 0, longest, least, bits, None, None)
-    words = write_table(partial.where("slice is null").groupBy("lang").agg(F.sum("n").alias("n")), "words")
+    words = write_table(partial.where("n is not null").groupBy("lang").agg(F.sum("n").alias("n")), "words")
     possible, frequent, found = _bitmap(partial, least, bits), None, []
     drop_table(partial)
     for k in range(1, longest + 1):
         partial = _pass(own, k, longest, least, bits, frequent, possible)
-        kept = write_table(partial.where("slice is null").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", F.lit(k).alias("k"), "phrase", "n"), "frequent")
+        kept = write_table(_summed(partial, least).select("lang", F.lit(k).alias("k"), "phrase", "n"), "frequent")
         found.append(kept)
         if k < longest:
             possible = _bitmap(partial, least, bits)
-            frequent = _bitmap(_marked(kept, least, bits), least, bits)
+            frequent = _bitmap(_marked(kept, k, least, bits), least, bits)
         drop_table(partial)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every, words
+    return reduce(DataFrame.unionByName, found), words
 
 
 def _part(first: Column, length: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_graph, media, mixing, packing, phrases, quality, repair, sharding, simhash, substring, token_store, toxicity
+from . import bwt, embed_graph, media, mixing, packing, phrases, quality, repair, sharding, simhash, substring, token_store, toxicity
 from .common import table
 from .learning import fold
 from .tokens import tokenizer_path
@@ -87,13 +87,18 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op13_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bwt.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_token_store, op4_media, op5_simhash, op6_mixing, op7_sharding, op8_packing, op9_embedding_graph, op10_toxicity, op11_repair, op12_phrases, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_token_store, op4_media, op5_simhash, op6_mixing, op7_sharding, op8_packing, op9_embedding_graph, op10_toxicity, op11_repair, op12_phrases, op13_bwt, pipeline)}
 
 
 def _mixing_sql() -> str:
@@ -176,4 +181,15 @@ kept AS (SELECT w.*, array_to_string(w.words, ' ') AS phrase FROM worst w LEFT J
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000"""
 
 
-ORACLE_SQL = {"op6_mixing": _mixing_sql(), "op11_repair": _repair_sql(), "op12_phrases": _PHRASES_SQL}
+#: The same by every string of 100 bytes, as hexadecimal text.
+_BWT_SQL = """WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, row_number() OVER (ORDER BY doc_id, text) AS no FROM documents),
+w AS (SELECT no, i, md5_number(substring(h, 2 * i + 1, 200)) AS s FROM (SELECT no, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d)),
+again AS (SELECT no, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY no, i) > 1),
+edge AS (SELECT no, i, i > coalesce(lag(i) OVER (PARTITION BY no ORDER BY i) + 100, -1) AS new FROM again),
+run AS (SELECT no, min(i) AS a, max(i) + 100 AS z FROM (SELECT no, i, sum(CAST(new AS INT)) OVER (PARTITION BY no ORDER BY i) AS run FROM edge) GROUP BY no, run),
+gap AS (SELECT no, a, z, coalesce(lag(z) OVER (PARTITION BY no ORDER BY a), 0) AS before FROM run),
+cut AS (SELECT no, sum(z - a) AS removed, count(*) AS spans, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(h), 2 * max(z) + 1) AS kept FROM gap JOIN d USING (no) GROUP BY no)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (no)"""
+
+
+ORACLE_SQL = {"op6_mixing": _mixing_sql(), "op11_repair": _repair_sql(), "op12_phrases": _PHRASES_SQL, "op13_bwt": _BWT_SQL}
