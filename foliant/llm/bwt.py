@@ -4,11 +4,13 @@ Every string of LENGTH bytes is dealt to a task by its content: the least hash o
 equal strings have equal hashes, so all that could be equal meet. Hashes that occur once in the corpus drop out before any text moves. A task gets its
 fragments in shards, sorts each shard's suffixes for itself and takes its transform, here the Q bytes before each suffix. The shards are merged by
 refining their interleaving: begin with any order, and sort it stably by the transform's symbols; after each round it is sorted by Q bytes more. Where two neighbours
-begin to differ is where a common prefix ends, so after LENGTH / Q rounds the blocks are the intervals of strings that repeat. No suffix of two shards is compared.
+begin to differ is where a common prefix ends, so after LENGTH / Q rounds the blocks are the intervals of strings that repeat. Suffixes of two shards are never compared.
+A hash with one text only has nothing to merge, unless the text may repeat within.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,54 +248,58 @@ def _packed(text: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Where the suffixes of `text` (around its end) start, sorted by their first `depth` bytes or more: by doubling."""
-    order, rank = _ranks(_packed(text, 8))
-    n = 8
-    while n < depth and rank[order[-1]] < text.size - 1:
-        order, rank = _ranks(rank << 32 | np.roll(rank, -n))
-        n *= 2
-    return order
+def _turned(x: np.ndarray, shards: list[np.ndarray], n: int) -> np.ndarray:
+    """Of each place what `x` has n places on, around the end of its shard."""
+    at = np.cumsum([0, *(s.size for s in shards)])
+    return np.concatenate([np.roll(x[a:z], -n) for a, z in zip(at[:-1], at[1:])])
 
 
 def step_of(length: int) -> int:
-    """Bytes of a symbol: the greatest divisor of the length up to 10."""
-    return max(d for d in range(1, 11) if length % d == 0)
+    """Bytes of a symbol: the greatest divisor of the length up to 20."""
+    return max(d for d in range(1, 21) if length % d == 0)
+
+
+def symbols_of(shards: list[np.ndarray], step: int) -> np.ndarray:
+    """Dense numbers of the `step` bytes from each place on, in their order, over all shards."""
+    n = min(8, step)
+    rank = _ranks(np.concatenate([_packed(s, n) for s in shards]))[1]
+    while n < step:  # two that overlap make a longer one
+        more = min(n, step - n)
+        rank, n = _ranks(rank << 32 | _turned(rank, shards, more))[1], n + more
+    return rank
+
+
+def suffix_order(rank: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """Where the suffixes of a shard (around its end) start, sorted by their first `depth` bytes or more, given numbers of their first n: by doubling."""
+    order, rank = _ranks(rank)
+    while n < depth and rank[order[-1]] < rank.size - 1:
+        order, rank = _ranks(rank << 32 | np.roll(rank, -n))
+        n *= 2
+    return order
 
 
 def merge_transforms(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, block): the suffixes of all shards merged, as places in their concatenation, and which of them begin a block of equal first `length` bytes.
+    """(place, new): the suffixes of all shards merged, as places in their concatenation, and which of them begin a block of equal first `length` bytes.
 
     A shard's transform are its symbols, the `step` bytes before each suffix, in the order of its suffixes. `turn` is the interleaving: whose suffix comes next.
     """
     step = step_of(length)
-    text = np.concatenate(shards)
+    symbol = symbols_of(shards, step)
     base = np.cumsum([0, *(s.size for s in shards[:-1])])
-    orders = [suffix_order(s, length) for s in shards]
-    # symbols get dense numbers over all shards
-    symbol = np.concatenate([_packed(s, min(8, step)) for s in shards])
-    symbol = _ranks(symbol)[1]
-    if step > 8:
-        tail = np.concatenate([_packed(np.roll(s, -8), step - 8) for s in shards]).astype(np.int64)
-        symbol = _ranks(symbol << 8 * (step - 8) | tail)[1]
-    before = np.concatenate([np.roll(s, step) for s in np.split(symbol, base[1:])])
-    place = np.concatenate([o + b for o, b in zip(orders, base)])
-    transform = before[place]
-    low, high = (transform & 0xFFFF).astype(np.uint16), (transform >> 16).astype(np.uint16)
-    turn = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.size for s in shards])
-    block = np.zeros(text.size, np.int32)
+    place = np.concatenate([suffix_order(own, step, length) + b for own, b in zip(np.split(symbol, base[1:]), base)])
+    transform = _turned(symbol, shards, -step)[place].astype(np.uint32)
+    turn = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16 if len(shards) < 1 << 16 else np.int64), [s.size for s in shards])
+    block, at = np.zeros(turn.size, np.int32), np.arange(turn.size)
+    new = np.ones(turn.size, bool)
     for _ in range(length // step):
-        by_shard = np.argsort(turn, kind="stable")  # where each shard's next symbol is asked for
-        at = np.empty(text.size, np.int64)
-        at[by_shard] = np.arange(text.size)
-        order = np.argsort(low[at], kind="stable")
-        order = order[np.argsort(high[at][order], kind="stable")]
-        turn, block, symbols = turn[order], block[order], transform[at[order]]
-        block = np.concatenate(([0], np.cumsum((symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])))).astype(np.int32)
-    by_shard = np.argsort(turn, kind="stable")
-    merged = np.empty(text.size, np.int64)
-    merged[by_shard] = place
-    return merged, np.concatenate(([True], block[1:] != block[:-1]))
+        asked = transform[at]
+        order = np.argsort(asked.astype(np.uint16), kind="stable")
+        order = order[np.argsort((asked >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
+        turn, block, asked = turn[order], block[order], asked[order]
+        new[1:] = (asked[1:] != asked[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(new, dtype=np.int32)
+        at[np.argsort(turn, kind="stable")] = np.arange(turn.size)  # which of its shard's suffixes each turn takes
+    return place[at], new
 
 
 def _shards(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -307,6 +313,12 @@ def _shards(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out + ([np.frombuffer(b"".join(held), np.uint8)] if held else [])
 
 
+def _may_repeat_within(text: bytes, length: int) -> bool:
+    """False only if no two strings of a fragment are equal: what all its strings share would be found again."""
+    n = len(text) - length + 1
+    return n > length - gram(length) or text.find(text[n - 1 : length], n) >= 0
+
+
 def _covered(rows: list[tuple], length: int, shard: int) -> pa.RecordBatch:
     """Spans of the strings in `rows` (fragments of different texts) that start earlier in one of the others, or in itself."""
     _, ids, texts, starts, sizes, data = zip(*rows)
@@ -338,7 +350,8 @@ def _merged(found: DataFrame, length: int, batch: int, shard: int) -> DataFrame:
             spans = [r[1:5] for r in rows if r[5] is None]
             if spans:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*spans)], ["_d", "_h", "start", "n"])
-            rows = [r for r in rows if r[5] is not None]
+            texts = Counter(r[0] for r in rows if r[5] is not None)
+            rows = [r for r in rows if r[5] is not None and (texts[r[0]] > 1 or _may_repeat_within(r[5], length))]
             if rows:
                 yield _covered(rows, length, shard)
 
