@@ -10,11 +10,12 @@ A hash with one text only has nothing to merge, unless the text may repeat withi
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +91,15 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("_text"))
 
 
-# --- which fragments' hashes repeat -----------------------------------------------------------------------------------------------------------------------
+def _packed_texts(own: DataFrame) -> DataFrame:
+    """(doc_id, _d, _h, _packed): texts compressed one by one, since they are about to be shuffled: a third less than a shuffle's own codec leaves."""
 
-_HASHES = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("texts", pa.binary()), ("numbers", pa.binary()), ("seen", pa.binary())])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in slices(batches, 4096, 8 << 20):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([z.compress(t) for t in _texts(b, 3)], pa.binary())], ["doc_id", "_d", "_h", "_packed"])
+
+    return own.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(pack, "doc_id long, _d long, _h long, _packed binary")
 
 
 def _texts(b: pa.RecordBatch, column: int) -> Iterator[pa.Buffer]:
@@ -102,77 +109,138 @@ def _texts(b: pa.RecordBatch, column: int) -> Iterator[pa.Buffer]:
     return (v.as_buffer() for v in values)
 
 
-def _repeated_hashes(own: DataFrame, length: int, parts: int) -> DataFrame:
-    """(_d, _h, _numbers): of each document the numbers of its fragments whose hash occurs again, as int32.
+# --- which fragments repeat -------------------------------------------------------------------------------------------------------------------------------
+
+FRAGMENTS = "hash long, _d long, _h long, start long, n long"
+_FRAGMENT = [("hash", pa.int64()), ("_d", pa.int64()), ("_h", pa.int64()), ("start", pa.int64()), ("n", pa.int64())]
+#: A fragment on its way: the low six bytes of its hash (more would only tell apart what may as well meet), a hash of its whole text, whose it is, where, how many strings.
+_SENT = np.dtype([("hash", "V6"), ("whole", "<u8"), ("d", "<i8"), ("h", "<i8"), ("start", "<u4"), ("n", "<u4")])
+_WITHIN = np.uint32(1 << 31)
+
+
+def _whole_hashes(text: pa.Buffer, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the fragments' texts, one by one: a text's grams are no proof of the whole."""
+    data = memoryview(text)
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + c]) for a, c in zip(at.tolist(), (n + length - 1).tolist())), np.uint64, at.size)
+
 
-    Hashes are combined within a batch first: those that repeat there are known, and only one of each goes on. What is shuffled are packed columns.
+def _firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, later) fragments of each text, by document and place. A fragment that is told twice, since its row repeats, counts once."""
+    x = x[np.lexsort((x["start"], x["h"], x["d"], x["whole"], x["key"]))]
+    new, other = np.ones(x.size, bool), np.ones(x.size, bool)
+    new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["whole"][1:] != x["whole"][:-1])
+    other[1:] = new[1:] | (x["d"][1:] != x["d"][:-1]) | (x["h"][1:] != x["h"][:-1]) | (x["start"][1:] != x["start"][:-1])
+    return x[new], x[other & ~new]
+
+
+def repeated_fragments(own: DataFrame, length: int) -> DataFrame:
+    """`FRAGMENTS` that matter, where they start and their bytes. Without a hash: fragments whose whole text starts earlier too, so that all of it goes. With one: the first of
+    each text, if the hash has other texts or the text may repeat within; their strings have to be compared.
+
+    Equal fragments are combined within a batch before anything is shuffled, and what is shuffled are packed columns.
     """
+    spark = own.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
+
+    def told(x: np.ndarray, hashes: np.ndarray | None) -> pa.RecordBatch:
+        n = (x["n"] & ~_WITHIN).astype(np.int64) + length - 1
+        none = pa.nulls(x.size, pa.int64())
+        return pa.RecordBatch.from_arrays([none if hashes is None else pa.array(hashes.view(np.int64)), pa.array(x["d"]), pa.array(x["h"]), pa.array(x["start"].astype(np.int64)), pa.array(n)], [c for c, _ in _FRAGMENT])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for b in slices(batches, 1 << 16, 8 << 20):
-            found = [fragments(t, length, within=True) for t in _texts(b, 2)]
-            sizes = np.fromiter((f[0].size for f in found), np.int64, len(found))
-            if not sizes.sum():
+            found = []
+            for d, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b, 2)):
+                hashes, at, n, within = fragments(text, length, within=True)
+                x = np.zeros(hashes.size, [*_SENT.descr[1:], ("key", "<u8")])
+                x["key"], x["whole"], x["d"], x["h"], x["start"] = hashes & np.uint64((1 << 48) - 1), _whole_hashes(text, at, n, length), d, h, at
+                x["n"] = n.astype(np.uint32) | np.where(within, _WITHIN, np.uint32(0))
+                found.append(x)
+            x = np.concatenate(found) if found else np.zeros(0)
+            if not x.size:
                 continue
-            hashes, twice = (np.concatenate([f[i] for f in found]) for i in (0, 3))
-            row = np.repeat(np.arange(sizes.size), sizes)
-            number = (np.arange(hashes.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            ids, texts = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
-            order = np.argsort(hashes, kind="stable")
-            ordered = hashes[order]
-            new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-            start = np.flatnonzero(new)
-            size = np.diff(start, append=order.size)
-            count = size + np.maximum.reduceat(twice[order], start)
-            first, again = order[new], order[np.repeat(count, size) > 1]
-            seen = np.minimum(count, 2).astype(np.uint8)
-            part = (hashes[first] % np.uint64(parts)).astype(np.int32)
+            first, again = _firsts(x)
+            part = (first["key"] % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.concatenate(([True], np.diff(part[by]) > 0, [True])))
-            out = [(int(part[by[a]]), *(c[by[a:z]] if c is seen else c[first[by[a:z]]] for c in (hashes, ids, texts, number, seen))) for a, z in zip(cut[:-1], cut[1:])]
-            if again.size:  # the numbers that are known already go along
-                turn += 1
-                out.append(((int(ids[0]) + turn) % parts, hashes[:0], ids[again], texts[again], number[again], seen[:0]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i].tobytes() for r in out], pa.binary()) for i in range(1, 6))], schema=_HASHES)
+            out = [(int(part[by[a]]), False, _sent(first[by[a:z]][np.argsort(first['d'][by[a:z]], kind='stable')])) for a, z in zip(cut[:-1], cut[1:])]
+            if again.size:  # known already
+                out.append((int(again["key"][0] % np.uint64(parts)), True, _sent(again)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], pa.binary())], ["part", "known", "packed"])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = [], []
+        held = []
         for b in batches:
-            for hashes, ids, texts, numbers, seen in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
-                row = (np.frombuffer(ids, np.int64), np.frombuffer(texts, np.int64), np.frombuffer(numbers, np.int32))
-                if hashes:
-                    held.append((np.frombuffer(hashes, np.uint64), np.frombuffer(seen, np.uint8), *row))
+            for known, packed in zip(b.column(1).to_pylist(), b.column(2)):
+                x = _received(packed.as_buffer())
+                if known:
+                    yield told(x, None)
                 else:
-                    known.append(row)
-        if held:
-            hashes, seen, *rows = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(hashes)
-            ordered = hashes[order]
-            start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            times = np.add.reduceat(seen[order].astype(np.int64), start)
-            many = np.repeat(times, np.diff(np.append(start, order.size))) > 1
-            many = order[many & (seen[order] == 1)]
-            known.append(tuple(r[many] for r in rows))
-        if not known:
+                    held.append(x)
+        if not held:
             return
-        ids, texts, numbers = (np.concatenate(c) for c in zip(*known))
-        order = np.lexsort((numbers, texts, ids))
-        ids, texts, numbers = ids[order], texts[order], numbers[order]
-        cut = np.flatnonzero(np.concatenate(([ids.size > 0], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]), [ids.size > 0]))) if ids.size else np.zeros(1, np.int64)
-        for at in range(0, cut.size - 1, 4096):
-            edge = cut[at : at + 4097]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[edge[:-1]]), pa.array(texts[edge[:-1]]), pa.array([numbers[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])], pa.binary())], ["_d", "_h", "_numbers"])
-
-    packed = own.select("_d", "_h", "_text").mapInArrow(emit, "part int, hashes binary, ids binary, texts binary, numbers binary, seen binary")
-    return packed.repartition(parts, "part").mapInArrow(tell, "_d long, _h long, _numbers binary").groupBy("_d", "_h").agg(F.collect_list("_numbers").alias("_numbers"))
+        x, again = _firsts(np.concatenate(held))
+        yield told(again, None)
+        start = np.flatnonzero(np.concatenate(([True], x["key"][1:] != x["key"][:-1])))
+        texts = np.diff(start, append=x.size)
+        x = x[(np.repeat(texts, texts) > 1) | ((x["n"] & _WITHIN) > 0)]
+        yield told(x, x["key"])
+
+    packed = own.select("_d", "_h", "_text").mapInArrow(emit, "part int, known boolean, packed binary")
+    return packed.repartition(parts, "part").mapInArrow(tell, FRAGMENTS)
+
+
+def _sent(x: np.ndarray) -> bytes:
+    """Fragments column by column, so that what repeats is found by the shuffle's codec."""
+    return x["key"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + b"".join(x[c].tobytes() for c in _SENT.names[1:])
+
+
+def _received(packed: pa.Buffer) -> np.ndarray:
+    size = len(packed) // _SENT.itemsize
+    x, at = np.zeros(size, [*_SENT.descr[1:], ("key", "<u8")]), 6 * size
+    key = np.zeros((size, 8), np.uint8)
+    key[:, :6] = np.frombuffer(packed, np.uint8, at).reshape(-1, 6)
+    x["key"] = key.view("<u8")[:, 0]
+    for c in _SENT.names[1:]:
+        x[c] = np.frombuffer(packed, _SENT[c], size, at)
+        at += size * _SENT[c].itemsize
+    return x
 
 
 # --- their texts ------------------------------------------------------------------------------------------------------------------------------------------
 
 SPANS = "_d long, _h long, start long, n long"
-FRAGMENTS = "hash long, " + SPANS + ", text binary"
-_FRAGMENTS = pa.schema([("hash", pa.int64()), ("_d", pa.int64()), ("_h", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
+_TEXTS = pa.schema([*_FRAGMENT, ("text", pa.binary())])
+
+
+def _fragment_texts(own: DataFrame, asked: DataFrame, length: int, hot: int) -> DataFrame:
+    """The asked fragments and their texts. Those of a hash that has very many are cut again where a second least hash changes, and dealt by both."""
+    many = asked.groupBy("hash").count().where(F.col("count") > hot).select("hash", F.lit(True).alias("_many"))
+    if not many.isEmpty():
+        asked = asked.join(many, "hash", "left")
+    else:
+        asked = asked.withColumn("_many", F.lit(None).cast("boolean"))
+    lists = asked.groupBy("_d", "_h").agg(F.collect_list(F.struct("hash", "start", "n", "_many")).alias("_asked"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for b in slices(batches, 4096, 2 << 20):
+            rows = []
+            for d, h, packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b, 2), b.column(3).to_pylist()):
+                data = z.decompress(packed)
+                for w in wanted:
+                    m, start, n = w["hash"], w["start"], w["n"]
+                    if not w["_many"]:
+                        rows.append((m, d, h, start, n, data[start : start + n]))
+                        continue
+                    hashes, at, c = fragments(data[start : start + n], length, seed=1)
+                    both = (hashes * np.uint64(_BASE) ^ np.uint64(m % (1 << 64))).view(np.int64)
+                    rows += [(x, d, h, start + a, k + length - 1, data[start + a : start + a + k + length - 1]) for x, a, k in zip(both.tolist(), at.tolist(), c.tolist())]
+            for i in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 20_000]), _TEXTS)], schema=_TEXTS)
+
+    joined = _packed_texts(own).drop("doc_id").join(lists, ["_d", "_h"]).select("_d", "_h", "_packed", "_asked")
+    return joined.mapInArrow(cut, FRAGMENTS + ", text binary")
 
 
 def _collapse(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -187,47 +255,6 @@ def _collapse(rows: Iterator[tuple]) -> Iterator[tuple]:
     yield from first.values()
 
 
-def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _FRAGMENTS)], schema=_FRAGMENTS)
-
-
-def _fragment_texts(own: DataFrame, numbers: DataFrame, length: int) -> DataFrame:
-    """The fragments with these numbers; those that are equal to one of the same batch have no text."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1 << 16, 4 << 20):
-            rows = []
-            for d, h, text, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b, 2), b.column(3).to_pylist()):
-                wanted = np.unique(np.frombuffer(b"".join(lists), np.int32))
-                hashes, at, n = (x[wanted] for x in fragments(text, length))
-                data = memoryview(text)
-                rows += [(m, d, h, a, c + length - 1, bytes(data[a : a + c + length - 1])) for m, a, c in zip(hashes.view(np.int64).tolist(), at.tolist(), n.tolist())]
-            out = list(_collapse(iter(rows)))
-            for i in range(0, len(out), 20_000):
-                yield _fragment_batch(out[i : i + 20_000])
-
-    return own.select("_d", "_h", "_text").join(numbers, ["_d", "_h"]).select("_d", "_h", "_text", "_numbers").mapInArrow(cut, FRAGMENTS)
-
-
-def _dealt_anew(found: DataFrame, length: int, hot: int) -> DataFrame:
-    """Fragments of a hash that has very many are cut again where a second least hash changes, and dealt by both."""
-    many = found.groupBy("hash").count().where(F.col("count") > hot).select("hash")
-    if many.isEmpty():
-        return found
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096, 4 << 20):
-            rows = []
-            for m, d, h, start, _, text in zip(*(b.column(i).to_pylist() for i in range(6))):
-                hashes, at, n = fragments(text, length, seed=1)
-                both = (hashes * np.uint64(_BASE) ^ np.uint64(m % (1 << 64))).view(np.int64)
-                rows += [(x, d, h, start + a, c + length - 1, text[a : a + c + length - 1]) for x, a, c in zip(both.tolist(), at.tolist(), n.tolist())]
-            if rows:
-                yield _fragment_batch(rows)
-
-    return found.join(many, "hash", "left_anti").unionByName(found.join(many, "hash", "left_semi").select(found.columns).mapInArrow(again, FRAGMENTS))
-
-
 # --- transforms, and their merge --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -313,12 +340,6 @@ def _shards(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out + ([np.frombuffer(b"".join(held), np.uint8)] if held else [])
 
 
-def _may_repeat_within(text: bytes, length: int) -> bool:
-    """False only if no two strings of a fragment are equal: what all its strings share would be found again."""
-    n = len(text) - length + 1
-    return n > length - gram(length) or text.find(text[n - 1 : length], n) >= 0
-
-
 def _covered(rows: list[tuple], length: int, shard: int) -> pa.RecordBatch:
     """Spans of the strings in `rows` (fragments of different texts) that start earlier in one of the others, or in itself."""
     _, ids, texts, starts, sizes, data = zip(*rows)
@@ -350,8 +371,7 @@ def _merged(found: DataFrame, length: int, batch: int, shard: int) -> DataFrame:
             spans = [r[1:5] for r in rows if r[5] is None]
             if spans:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*spans)], ["_d", "_h", "start", "n"])
-            texts = Counter(r[0] for r in rows if r[5] is not None)
-            rows = [r for r in rows if r[5] is not None and (texts[r[0]] > 1 or _may_repeat_within(r[5], length))]
+            rows = [r for r in rows if r[5] is not None]
             if rows:
                 yield _covered(rows, length, shard)
 
@@ -372,11 +392,9 @@ def _merged(found: DataFrame, length: int, batch: int, shard: int) -> DataFrame:
 
 
 def _spans(own: DataFrame, length: int, batch: int, shard: int, hot: int) -> DataFrame:
-    spark = own.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
-    found = write_table(_fragment_texts(own, _repeated_hashes(own, length, parts), length), "fragments")
-    whole = found.where("text is null").select("_d", "_h", "start", "n")
-    return whole.unionByName(_merged(_dealt_anew(found.where("text is not null"), length, hot), length, batch, shard))
+    found = write_table(repeated_fragments(own, length), "fragments")
+    whole = found.where("hash is null").select("_d", "_h", "start", "n")
+    return whole.unionByName(_merged(_fragment_texts(own, found.where("hash is not null"), length, hot), length, batch, shard))
 
 
 REMOVED = "n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>"
@@ -391,13 +409,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch: int = BATCH, sh
     """
     own = _own(docs)
     spans = _spans(own, length, batch, shard, hot).groupBy("_d", "_h").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    numbered = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_d")))
+    numbered = _packed_texts(own).withColumn("_copy", F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_d")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096, 8 << 20):
+        z = zstandard.ZstdDecompressor()
+        for b in slices(batches, 4096, 4 << 20):
             rows = []
-            for doc, copy, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b, 2), b.column(3).to_pylist()):
-                data = memoryview(text)
+            for doc, copy, packed, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b, 2), b.column(3).to_pylist()):
+                data = memoryview(z.decompress(packed))
                 if copy > 1 and len(data) >= length:
                     found = [{"start": 0, "n": len(data)}]
                 runs: list[list[int]] = []
@@ -412,5 +431,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batch: int = BATCH, sh
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", *(c.split()[0] for c in REMOVED.split(", ")[:4]), "kept"])
 
-    joined = numbered.join(spans, ["_d", "_h"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "_copy", "_text", "_spans")
+    joined = numbered.join(spans, ["_d", "_h"], "left").select("doc_id", "_copy", "_packed", "_spans")
     return joined.mapInArrow(cut, f"doc_id long, {REMOVED}, kept binary")
