@@ -86,10 +86,14 @@ def row_classes(lo: Column, hi: Column) -> Column:
 
 
 def busyness(luma: Column) -> Column:
-    """How busy a row is: the share of steps over three pixels of 128 or more, and a ten-thousandth of the mean step."""
-    steps = F.zip_with(F.slice(luma, F.lit(4), F.greatest(F.lit(0), F.size(luma) - 3)), F.slice(luma, F.lit(1), F.greatest(F.lit(0), F.size(luma) - 3)), lambda a, b: F.abs(a - b))
-    n = F.size(steps)
-    return F.when(n > 0, F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + F.when(s >= 128, 1.0).otherwise(0.0) + s * 1e-4) / n).otherwise(0.0)
+    """How busy a row is: the share of steps over three pixels of 128 or more, and a ten-thousandth of the mean step from pixel to pixel."""
+
+    def steps(over: int) -> Column:
+        n = F.greatest(F.lit(0), F.size(luma) - over)
+        return F.zip_with(F.slice(luma, F.lit(over + 1), n), F.slice(luma, F.lit(1), n), lambda a, b: F.abs(a - b))
+
+    mean = lambda s, of: F.aggregate(s, F.lit(0.0), lambda acc, v: acc + of(v)) / F.greatest(F.lit(1), F.size(s))
+    return mean(steps(3), lambda v: F.when(v >= 128, 1.0).otherwise(0.0)) + mean(steps(1), lambda v: v) * 1e-4
 
 
 def luma(red: Column, green: Column, blue: Column) -> Column:

@@ -81,8 +81,8 @@ def row_gutters(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", pages.row_classes(lo, (lo + F.col("vec_id") % 20).cast("int")).alias("c")).select("vec_id", "c.quiet", "c.white", "c.black")
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) * 600) AS v FROM embeddings), d AS (SELECT vec_id, list_transform(range(1, 62), lambda i: abs(v[i + 3] - v[i])) AS d FROM v)
-SELECT vec_id, round(list_sum(list_transform(d, lambda s: CASE WHEN s >= 128 THEN 1.0 ELSE 0.0 END)) / 61 + list_sum(d) * 1e-4 / 61, 8) AS busy FROM d""")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) * 600) AS v FROM embeddings), d AS (SELECT vec_id, list_transform(range(1, 62), lambda i: abs(v[i + 3] - v[i])) AS d, list_transform(range(1, 64), lambda i: abs(v[i + 1] - v[i])) AS e FROM v)
+SELECT vec_id, round(list_sum(list_transform(d, lambda s: CASE WHEN s >= 128 THEN 1.0 ELSE 0.0 END)) / 61 + list_sum(e) * 1e-4 / 63, 8) AS busy FROM d""")
 def row_busyness(spark, sf_dir):
     v = F.transform("embedding", lambda x: F.abs(x.cast("double")) * 600)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(pages.busyness(v), 8).alias("busy"))

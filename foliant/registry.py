@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from foliant.plans import archive, documents, feeds, lookups, naming, pages, rasters, requests, status  # noqa: E402, F401  they register themselves
+from foliant.plans import archive, documents, feeds, lookups, naming, pages, rasters, requests, status, strips  # noqa: E402, F401  they register themselves
