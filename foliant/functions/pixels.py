@@ -134,10 +134,9 @@ def edge_lines(luma: np.ndarray, threshold: int = 40) -> tuple[int, int, int, in
         return (0, 0, 0, 0)
 
     def lines(side: np.ndarray) -> int:
-        n = 0
-        while n < LINE_MOST and side[n].mean() > LINE_INK:
-            n += 1
-        return n if n and side[n : n + LINE_LOOK].mean() <= LINE_CLEAR else 0
+        share = side[: LINE_MOST + LINE_LOOK].mean(axis=1)
+        n = int(np.logical_and.accumulate(share[:LINE_MOST] > LINE_INK).sum())
+        return n * bool(share[n : n + LINE_LOOK].mean() <= LINE_CLEAR)
 
     return lines(ink.T), lines(ink), lines(ink.T[::-1]), lines(ink[::-1])
 

@@ -121,3 +121,41 @@ def test_bodies_that_are_no_feeds(spark):
     wide = spark.createDataFrame([(b"\xff\xfe" + "<feed/>é".encode("utf-16-le"),), (b"\x00\x00\xfe\xff" + "ab".encode("utf-32-be"),), (b"plain \xff",)], "b binary")
     assert [r.x for r in wide.select(rewriting.narrow(F.col("b")).alias("x")).collect()] == ["<feed/>é", "ab", "plain �"]
     assert one(spark, rewriting.signed_by(F.col("f")), f="<feed><author><name>Komga</name></author></feed>") is True
+
+
+ATOM = "http://www.w3.org/2005/Atom"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f'<a:feed xmlns:a="{ATOM}"><a:link href="/opds/k3y/x"/></a:feed>', "dl/" + token("https://cat.org/opds/~key~/x")),
+        (f'<feed xmlns="{ATOM}"><link href="a?x=1&#38;y=2&#x26;z"/></feed>', "dl/" + token("https://cat.org/opds/v1/a?x=1&y=2&z")),
+        (f'<feed xmlns="{ATOM}"><!-- <link href="no"/> --><![CDATA[<link href="no"/>]]><link title=" href=\'no\' > " href=\'yes\'/></feed>', "dl/" + token("https://cat.org/opds/v1/yes")),
+        (f'<feed xmlns="{ATOM}"><div xmlns="http://www.w3.org/1999/xhtml"><link href="no"/></div><h:link xmlns:h="u" href="no"/><link href="yes"/>', "dl/" + token("https://cat.org/opds/v1/yes")),
+    ],
+)
+def test_any_prefix_and_reference(spark, text, want):
+    got = whole(spark, text)
+    assert got.count(f'href="http://me:80/my%20page/{want}"') == 1 and got.count("http://me:80") == 1
+
+
+@pytest.mark.parametrize("text", ["<html>k3y</html>", '<feed><link href="https://cat.org/k3y/x', f'<feed xmlns="{ATOM}"><title>k3y</title></feed>', '{"a": "k3y"}', '["k3y"', "k3y", '<x:feed xmlns:x="else"><x:link href="/k3y"/></x:feed>', "<!-- k3y --><feed/>"])
+def test_nothing_that_holds_the_key_gets_out(spark, text):
+    assert whole(spark, text) is None
+
+
+@pytest.mark.parametrize("text", ['<feed><link href="https://cat.org/x', "<feed><", "<a <b <c>", "<feed/>é<!-- ", '<?xml version="1.0"?><!DOCTYPE x [<!ENTITY a "b">]><feed>&a;</feed></feed></x>', "< >", "<![CDATA["])
+def test_broken_texts_stay_as_they_are(spark, text):
+    assert whole(spark, text) == text
+
+
+def test_json_by_pointers(spark):
+    acq = "http://opds-spec.org/acquisition"
+    book = {"metadata": {"title": "T", "numberOfPages": 250}, "links": [{"href": "/b", "rel": [acq, "x"]}, {"href": "/i", "rel": "self"}]}
+    doc = {"a/b~": {"publications": [book, {"links": []}, 7, book]}, "publications": [{"links": [{"href": "/c", "rel": acq, "templated": True}]}], "alternate": [{"href": "/z"}]}
+    got = json.loads(whole(spark, json.dumps(doc), parts=lambda href, pages: F.when(pages >= 200, 3).otherwise(1)))
+    of = got["a/b~"]["publications"]
+    assert [b["metadata"]["title"] if isinstance(b, dict) and "metadata" in b else b for b in of] == ["T (1 of 3)", "T (2 of 3)", "T (3 of 3)", {"links": []}, 7, "T (1 of 3)", "T (2 of 3)", "T (3 of 3)"]
+    assert of[1]["links"][0]["href"].endswith("?part=2&parts=3") and "part=" not in of[1]["links"][1]["href"] and len(got["publications"]) == 1
+    assert "templated" not in got["publications"][0]["links"][0] and got["alternate"][0]["href"] == f"http://me:80/my%20page/dl/{token('https://cat.org/z')}"
