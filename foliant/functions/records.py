@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Digits of base-32 names; bytes of a record of strings; bytes of an index block beside its entries.
 BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -42,36 +47,46 @@ def aligned(raw: Column) -> Column:
     return F.concat(raw, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.octet_length(raw), F.lit(4)).cast("int"))))
 
 
-def interned(rows: DataFrame, book: str, order: str, text: str, limit: int = STRING_RECORD) -> DataFrame:
-    """(book, text, offset): where each distinct text of a book is in its string records, by first use.
+def blocked(rows: DataFrame, book: str, order: list[str], size: str, limit: int) -> DataFrame:
+    """`rows` with `block` and `place`: taken in order into blocks of at most `limit` bytes; a row that doesn't fit into what is left begins the next block, and may be all of it.
 
-    A string that doesn't fit into what is left of a record starts the next one; an offset is record * 65536 + place. Strings are those of one book's
-    table of contents, so its fold over them is a task's.
+    Where a block begins depends on all before it, so a book's rows pass one task as a sorted stream; it holds a batch of them and two numbers. Null books are one book, null sizes are 0.
     """
-    firsts = rows.groupBy(book, text).agg(F.min(order).alias("_at")).groupBy(book).agg(F.array_sort(F.collect_list(F.struct("_at", F.col(text).alias("t"), F.octet_length(F.concat(forward_varint(F.octet_length(text)), F.encode(text, "UTF-8"))).alias("n")))).alias("_all"))
-    start = F.struct(F.lit(0).alias("record"), F.lit(0).alias("used"), F.array().cast("array<struct<t:string,offset:long>>").alias("out"))
-
-    def place(acc: Column, s: Column) -> Column:
-        over = acc["used"] + s["n"] > limit
-        record, used = F.when(over, acc["record"] + 1).otherwise(acc["record"]), F.when(over, 0).otherwise(acc["used"])
-        return F.struct(record.alias("record"), (used + s["n"]).alias("used"), F.concat(acc["out"], F.array(F.struct(s["t"].alias("t"), (record.cast("long") * 65536 + used).alias("offset")))).alias("out"))
 
-    placed = F.aggregate("_all", start, place, lambda acc: acc["out"])
-    return firsts.select(book, F.inline(placed)).select(book, F.col("t").alias(text), "offset")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, block, used, empty = None, -1, 0, True
+        for b in batches:
+            books, sizes = b.column(book).to_pylist(), b.column(size).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            blocks, places = np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.int64)
+            edges = [0, *(i for i in range(1, b.num_rows) if books[i] != books[i - 1]), b.num_rows]
+            for begin, end in zip(edges[:-1], edges[1:]):
+                if block < 0 or books[begin] != last:
+                    last, block, used, empty = books[begin], 0, 0, True
+                total, at = np.concatenate(([0], np.cumsum(sizes[begin:end]))), 0
+                while at < end - begin:  # a step a block, not a row
+                    stop = max(int(np.searchsorted(total, total[at] + limit - used, side="right")) - 1, at + empty)
+                    blocks[begin + at : begin + stop], places[begin + at : begin + stop] = block, used + total[at:stop] - total[at]
+                    used, empty, at = used + int(total[stop] - total[at]), empty and stop == at, stop
+                    if at < end - begin:
+                        block, used, empty = block + 1, 0, True
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks), pa.array(places)], [*b.schema.names, "block", "place"])
+
+    schema = StructType([*rows.schema.fields, StructField("block", LongType()), StructField("place", LongType())])
+    return rows.repartition(book).sortWithinPartitions(book, *order).mapInArrow(place, schema)
 
 
-def index_blocks(rows: DataFrame, book: str, order: str, size: str, limit: int = INDEX_BLOCK) -> DataFrame:
-    """`rows` with `block`: index entries of `size` bytes in order, packed into blocks of at most `limit` bytes; each entry takes two more for its place."""
-    own = rows.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("_all"))
-    start = F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.array().cast(f"array<struct<{order}:long,block:int>>").alias("out"))
+def interned(rows: DataFrame, book: str, order: str, text: str, limit: int = STRING_RECORD) -> DataFrame:
+    """(book, text, offset): where each distinct text of a book is in its string records, by first use; an offset is record * 65536 + place."""
+    length = F.octet_length(F.encode(text, "UTF-8"))
+    firsts = rows.groupBy(book, text).agg(F.min(order).alias("_at")).withColumn("_size", F.octet_length(forward_varint(length)) + length)
+    placed = blocked(firsts.select(book, F.col("_at"), F.col(text), F.col("_size")), book, ["_at", text], "_size", limit)
+    return placed.select(book, text, (F.col("block") * 65536 + F.col("place")).alias("offset"))
 
-    def place(acc: Column, s: Column) -> Column:
-        over = acc["bytes"] + 2 * acc["n"] + s[size] + 2 > limit
-        block = F.when(over, acc["block"] + 1).otherwise(acc["block"])
-        grown = F.when(over, s[size]).otherwise(acc["bytes"] + s[size]).cast("long")
-        return F.struct(block.alias("block"), grown.alias("bytes"), F.when(over, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(F.struct(s[order].cast("long").alias(order), block.alias("block")))).alias("out"))
 
-    return own.select(book, F.inline(F.aggregate("_all", start, place, lambda acc: acc["out"])))
+def index_blocks(rows: DataFrame, book: str, order: str, size: str, limit: int = INDEX_BLOCK) -> DataFrame:
+    """`rows` (book, order, size) with `block`: index entries of `size` bytes in order, packed into blocks of at most `limit` bytes; each entry takes two more for its place."""
+    own = rows.select(book, order, size, (F.col(size) + 2).alias("_size"))
+    return blocked(own, book, [order], "_size", limit).select(book, order, size, "block")
 
 
 def first_overlap(records: DataFrame, entries: DataFrame, book: str) -> DataFrame:

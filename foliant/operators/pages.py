@@ -7,11 +7,14 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.windows import null_safe_join
+
 # Bytes of a part and of a megapixel by format; rows of one shade, white and black; marks of pure colours.
 PART_BYTES, MEGAPIXEL_BYTES = 3_500_000_000, {"pngc": 200_000, "webpc": 60_000}
 QUIET, WHITE, BLACK, PURE = 15, 235, 30, 12
 LUMA = (0.299, 0.587, 0.114)
 INK_SHARE = 3e-5
+SURE, SURE_LINE = 0.95, 0.90
 
 
 @lru_cache(maxsize=1)
@@ -43,7 +46,7 @@ def strip_parts(pages: DataFrame, book: str, count: Column, width: int, largest_
     wide = F.least(F.lit(float(width)), F.rint(F.col("modal") * largest_scale))
     rows = F.col("count") * F.coalesce(F.col("ratio") * wide, F.lit(2.0 * width))
     size = rows * width / 1e6 * MEGAPIXEL_BYTES.get(fmt, MEGAPIXEL_BYTES["pngc"])
-    return sums.join(widths, book, "left").select(book, F.when(F.col("count") <= 0, 1).otherwise(F.greatest(F.lit(1), F.ceil(size / PART_BYTES))).cast("long").alias("parts"))
+    return null_safe_join(sums, widths, [book], "left").select(book, F.when(F.col("count") <= 0, 1).otherwise(F.greatest(F.lit(1), F.ceil(size / PART_BYTES))).cast("long").alias("parts"))
 
 
 def between_lines(gaps: DataFrame, boxes: DataFrame, key: str, reach: int) -> DataFrame:
@@ -62,20 +65,27 @@ def between_lines(gaps: DataFrame, boxes: DataFrame, key: str, reach: int) -> Da
 def read_marks(marks: DataFrame, reads: DataFrame, page: str) -> DataFrame:
     """(page, mark, text): page numbers. Of the `reads` (page, text, score, x0, y0, x1, y1) those that name a number, cover half a mark's area, and have its centre within the mark and a quarter about it.
 
-    `marks`: (page, mark, mx0, my0, mx1, my1), the few candidates of a page.
+    `marks`: (page, mark, mx0, my0, mx1, my1), the few candidates of a page; one without an area has no number.
     """
-    both = marks.join(reads.where(folio_text(F.col("text"), F.col("score"))), page)
+    both = marks.join(reads.where((F.col("score") >= SURE) & (folio_number(F.col("text")) != "0")), page)
     over = lambda a, b, lo, hi: F.greatest(F.lit(0.0), F.least(F.col(b), F.col(hi)) - F.greatest(F.col(a), F.col(lo)))
     shared = over("x0", "x1", "mx0", "mx1") * over("y0", "y1", "my0", "my1")
     area = (F.col("mx1") - F.col("mx0")) * (F.col("my1") - F.col("my0"))
     within = lambda a, b, lo, hi: ((F.col(a) + F.col(b)) / 2).between(F.col(lo) - (F.col(hi) - F.col(lo)) / 4, F.col(hi) + (F.col(hi) - F.col(lo)) / 4)
-    return both.where((shared >= area / 2) & within("x0", "x1", "mx0", "mx1") & within("y0", "y1", "my0", "my1")).select(page, "mark", "text")
+    return both.where((area > 0) & (shared >= area / 2) & within("x0", "x1", "mx0", "mx1") & within("y0", "y1", "my0", "my1")).select(page, "mark", "text")
+
+
+def read_lines(lines: DataFrame) -> DataFrame:
+    """`lines` (text, score: a mark read as one line) with `found`: true, it is a page number of two digits or more; false, it holds no digit; null, the mark's surroundings have to be read."""
+    number = folio_number(F.col("text"))
+    sure = number.isNotNull() & (F.length(number) >= 2) & (F.col("score") >= SURE_LINE)
+    return lines.withColumn("found", F.when(sure, True).when(~F.coalesce(F.col("text"), F.lit("")).rlike("[0-9]"), False))
 
 
-def folio_text(text: Column, score: Column) -> Column:
-    """One to four digits within dashes or brackets, at most; not 0; read with a score of .95, or .9 if of two digits or more."""
-    digits = F.regexp_extract(text, r"^\s*[-–—\[(|]*\s*([0-9]{1,4})\s*[-–—\])|]*\s*$", 1)
-    return (digits != "") & ~digits.rlike("^0+$") & ((score >= 0.95) | ((score >= 0.9) & (F.length(digits) >= 2)))
+def folio_number(text: Column) -> Column:
+    """The one to four digits of a text that has nothing else but dashes, dots, white space, opening brackets before them and closing ones after; null of others."""
+    digits = F.regexp_extract(F.trim(text), r"^[-–—.\s\[(]*([0-9]{1,4})[-–—.\s\])]*$", 1)
+    return F.when(digits != "", digits)
 
 
 def row_classes(lo: Column, hi: Column) -> Column:
@@ -127,7 +137,7 @@ def empty_tiles(rows: DataFrame, keys: list[str], ink: Column, area: float) -> D
     """(keys, ink, empty): tiles with next to no ink; where all of a book's (the first key's) are empty, the first stays."""
     tiles = rows.groupBy(*keys).agg(F.sum(ink).alias("ink")).withColumn("empty", F.col("ink") <= INK_SHARE * area)
     book = tiles.groupBy(keys[0]).agg(F.min("empty").alias("_all"), F.min(keys[1]).alias("_first"))
-    return tiles.join(book, keys[0]).withColumn("empty", F.col("empty") & ~(F.col("_all") & (F.col(keys[1]) == F.col("_first")))).drop("_all", "_first")
+    return null_safe_join(tiles, book, [keys[0]]).withColumn("empty", F.col("empty") & ~(F.col("_all") & (F.col(keys[1]) == F.col("_first")))).drop("_all", "_first")
 
 
 def trim_cache(entries: DataFrame, cache: str, cap: Column, totals) -> DataFrame:
@@ -135,5 +145,5 @@ def trim_cache(entries: DataFrame, cache: str, cap: Column, totals) -> DataFrame
 
     `totals(df, keys, order, column)`: running sums before each row; see operators.windows.running_before().
     """
-    summed = totals(entries, [cache], ["mtime", "size", "path"], "size").join(entries.groupBy(cache).agg(F.sum("size").alias("_total"), cap.alias("_cap")), cache)
+    summed = null_safe_join(totals(entries, [cache], ["mtime", "size", "path"], "size"), entries.groupBy(cache).agg(F.sum("size").alias("_total"), cap.alias("_cap")), [cache])
     return summed.where((F.col("_total") <= F.col("_cap")) | (F.col("_total") - F.col("before") <= F.floor(F.col("_cap") * 0.9))).select(entries.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,12 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values:
     return tagged.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1").select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which null is one; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    return left.join(renamed, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]), how).drop(*[f"_other_{k}" for k in keys])
+
+
 def running_before(df: DataFrame, keys: list[str], order: list[str], column: str, name: str = "before", buckets: int = 64) -> DataFrame:
     """`df` with the sum of `column` over the rows before it of its keys, in `order` (unique within the keys), without one task for a key.
 
@@ -44,4 +52,4 @@ def running_before(df: DataFrame, keys: list[str], order: list[str], column: str
     sums = ranged.groupBy(*keys, "_range").agg(F.sum(column).alias("_sum"))
     base = sums.select(*keys, "_range", exclusive_sum("_sum", keys, ["_range"]).alias("_base"))
     inside = ranged.withColumn("_inside", exclusive_sum(column, [*keys, "_range"], order))
-    return inside.join(base, [*keys, "_range"]).withColumn(name, F.col("_inside") + F.col("_base")).drop("_range", "_inside", "_base")
+    return null_safe_join(inside, base, [*keys, "_range"]).withColumn(name, F.col("_inside") + F.col("_base")).drop("_range", "_inside", "_base")

@@ -107,23 +107,37 @@ def name_uuids(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", names.uuid5(F.concat(F.lit("book:"), "user_id")).alias("id"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey < 128 THEN printf('%02X', o_orderkey | 128) WHEN o_orderkey < 16384 THEN printf('%02X%02X', o_orderkey >> 7, (o_orderkey & 127) | 128) WHEN o_orderkey < 2097152 THEN printf('%02X%02X%02X', o_orderkey >> 14, (o_orderkey >> 7) & 127, (o_orderkey & 127) | 128) END AS forward,
- CASE WHEN o_orderkey < 128 THEN printf('%02X', o_orderkey | 128) WHEN o_orderkey < 16384 THEN printf('%02X%02X', (o_orderkey >> 7) | 128, o_orderkey & 127) WHEN o_orderkey < 2097152 THEN printf('%02X%02X%02X', (o_orderkey >> 14) | 128, (o_orderkey >> 7) & 127, o_orderkey & 127) END AS backward,
- list_aggregate(list_transform(range(5, -1, -1), lambda i: substr('0123456789ABCDEFGHIJKLMNOPQRSTUV', CAST((o_orderkey >> (5 * i)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS base32 FROM orders WHERE o_orderkey < 2097152""")
+def _varint_sql(last: bool) -> str:
+    """Each group of seven bits by itself, as many as the number has; the mark is on the last or on the first."""
+    group = lambda i, n: f"printf('%02X', ((o_orderkey >> {7 * (n - 1 - i)}) & 127) | {128 if i == (n - 1 if last else 0) else 0})"
+    whens = " ".join(f"WHEN o_orderkey < {1 << 7 * n} THEN {' || '.join(group(i, n) for i in range(n))}" for n in range(1, 9))
+    return f"CASE {whens} END"
+
+
+@query(f"""SELECT o_orderkey, {_varint_sql(True)} AS forward, {_varint_sql(False)} AS backward,
+ list_aggregate(list_transform(range(5, -1, -1), lambda i: substr('0123456789ABCDEFGHIJKLMNOPQRSTUV', CAST((o_orderkey >> (5 * i)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS base32 FROM orders""")
 def varints(spark, sf_dir):
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(k < 2097152).select("o_orderkey", F.hex(records.forward_varint(k)).alias("forward"), F.hex(records.backward_varint(k)).alias("backward"), records.base32(k, 6).alias("base32"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.hex(records.forward_varint(k)).alias("forward"), F.hex(records.backward_varint(k)).alias("backward"), records.base32(k, 6).alias("base32"))
 
 
-@query("""WITH f AS (SELECT role, text, min(conv_id * 100 + turn) AS pos, 2 + octet_length(encode(text)) AS n FROM conversations WHERE text IS NOT NULL AND octet_length(encode(text)) BETWEEN 128 AND 16383 AND conv_id < 40 GROUP BY role, text),
-s AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY pos, text) AS i FROM f),
-r(role, i, record, used, place) AS (SELECT role, i, 0, n, 0 FROM s WHERE i = 1 UNION ALL SELECT s.role, s.i, CASE WHEN r.used + n > 4096 AND r.used > 0 THEN record + 1 ELSE record END, CASE WHEN r.used + n > 4096 THEN n ELSE r.used + n END, CASE WHEN r.used + n > 4096 THEN 0 ELSE r.used END FROM r JOIN s ON s.role = r.role AND s.i = r.i + 1)
-SELECT role, md5(text) AS text, CAST(record * 65536 + place AS BIGINT) AS at_byte FROM r JOIN s USING (role, i)""".replace("WITH f", "WITH RECURSIVE f"))
+@query("""WITH RECURSIVE f AS (SELECT conv_id % 50 AS book, text, min(conv_id * 100 + turn) AS pos, octet_length(encode(text)) AS n FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+s AS (SELECT book, text, n + CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 ELSE 3 END AS n, row_number() OVER (PARTITION BY book ORDER BY pos, text) AS i FROM f),
+r(book, i, record, used, place) AS (SELECT book, i, 0, n, 0 FROM s WHERE i = 1 UNION ALL SELECT s.book, s.i, CASE WHEN r.used + n > 4096 THEN record + 1 ELSE record END, CASE WHEN r.used + n > 4096 THEN n ELSE r.used + n END, CASE WHEN r.used + n > 4096 THEN 0 ELSE r.used END FROM r JOIN s ON s.book = r.book AND s.i = r.i + 1)
+SELECT book, md5(text) AS text, CAST(record * 65536 + place AS BIGINT) AS at_byte FROM r JOIN s USING (book, i)""")
 def interned_strings(spark, sf_dir):
-    """Offsets of distinct texts in string records of 4096 bytes, by role."""
-    size = F.octet_length("text")
-    c = table(spark, sf_dir, "conversations").where(size.between(128, 16383) & (F.col("conv_id") < 40)).select("role", "text", (F.col("conv_id") * 100 + F.col("turn")).alias("at"))
-    return records.interned(c, "role", "at", "text", 4096).select("role", F.md5("text").alias("text"), F.col("offset").alias("at_byte"))
+    """Offsets of distinct texts in string records of 4096 bytes, in fifty books of conversations."""
+    c = table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") % 50).alias("book"), "text", (F.col("conv_id") * 100 + F.col("turn")).alias("at"))
+    return records.interned(c, "book", "at", "text", 4096).select("book", F.md5("text").alias("text"), F.col("offset").alias("at_byte"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT o_custkey, o_orderkey, 20 + o_orderkey % 300 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+r(o_custkey, i, block, used) AS (SELECT o_custkey, i, 0, n + 2 FROM s WHERE i = 1 UNION ALL SELECT s.o_custkey, s.i, CASE WHEN r.used + n + 2 > 1000 THEN block + 1 ELSE block END, CASE WHEN r.used + n + 2 > 1000 THEN n + 2 ELSE r.used + n + 2 END FROM r JOIN s ON s.o_custkey = r.o_custkey AND s.i = r.i + 1)
+SELECT o_custkey, o_orderkey, CAST(block AS BIGINT) AS block FROM r JOIN s USING (o_custkey, i)""")
+def index_block_numbers(spark, sf_dir):
+    """A customer's orders as index entries of 20 to 319 bytes, in blocks of a thousand."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (20 + F.col("o_orderkey") % 300).alias("size"))
+    return records.index_blocks(o, "o_custkey", "o_orderkey", "size", 1000).select("o_custkey", "o_orderkey", "block")
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey AS pos, 1 + o_orderkey % 5 AS size FROM orders), r AS (SELECT DISTINCT o_custkey, pos AS start, pos + 4000 AS stop FROM o)

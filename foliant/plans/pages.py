@@ -41,19 +41,32 @@ def lettering_gaps(spark, sf_dir):
     return pages.between_lines(gaps, boxes, "page", 60)
 
 
-_MARKS = "SELECT l_orderkey AS page, l_linenumber AS mark, l_suppkey * 1.0 AS x, l_quantity AS y, CASE l_partkey % 6 WHEN 0 THEN '12' WHEN 1 THEN '- 7 -' WHEN 2 THEN '[123]' WHEN 3 THEN '0' WHEN 4 THEN '12345' ELSE 'p.4' END AS text, CASE WHEN l_partkey % 5 = 0 THEN 0.92 ELSE 0.96 END AS score, l_partkey % 12 AS shift FROM lineitem"
+_TEXTS = ("12", "- 7 -", "[123]", "0", "12345", "p.4", "12.", "-. 7 .-", "|12|", "00", "(5)", " 8) ", "]9", "", "x")
+_MARKS = f"SELECT l_orderkey AS page, l_linenumber AS mark, l_suppkey * 1.0 AS x, l_quantity AS y, {list(_TEXTS)}[CAST(l_partkey % {len(_TEXTS)} AS INT) + 1] AS text, CASE WHEN l_partkey % 7 = 0 THEN 0.92 WHEN l_partkey % 7 = 1 THEN 0.85 ELSE 0.96 END AS score, l_partkey % 12 AS shift FROM lineitem"
+_NUMBER = r"regexp_full_match(trim(text), '[-.\s\[(]*\d{1,4}[-.\s\])]*')"
 
 
-@query(f"""WITH m AS (SELECT DISTINCT * FROM ({_MARKS})) SELECT page, mark, text FROM m WHERE regexp_matches(text, '^[-\\[ ]*[0-9]{{1,4}}[-\\] ]*$') AND text <> '0' AND (score >= 0.95 OR text IN ('12', '[123]')) AND shift <= 5""")
+def _read_texts(i):
+    return F.get(F.array(*map(F.lit, _TEXTS)), (i % len(_TEXTS)).cast("int")), F.when(i % 7 == 0, 0.92).when(i % 7 == 1, 0.85).otherwise(0.96)
+
+
+@query(f"""WITH m AS (SELECT DISTINCT * FROM ({_MARKS})) SELECT DISTINCT text, score, CASE WHEN {_NUMBER} AND len(regexp_replace(text, '[^0-9]', '', 'g')) >= 2 AND score >= 0.9 THEN true WHEN NOT regexp_matches(text, '[0-9]') THEN false END AS found FROM m""")
+def folio_lines(spark, sf_dir):
+    """Marks read as one line: numbers at once, none, or to be read with what is about them."""
+    text, score = _read_texts(F.col("l_partkey"))
+    return pages.read_lines(table(spark, sf_dir, "lineitem").select(text.alias("text"), score.alias("score")).distinct())
+
+
+@query(f"""WITH m AS (SELECT DISTINCT * FROM ({_MARKS})) SELECT page, mark, text FROM m WHERE {_NUMBER} AND trim(regexp_replace(text, '[^0-9]', '', 'g')) <> '0' AND score >= 0.95 AND shift <= 5""")
 def read_folios(spark, sf_dir):
     """Page numbers: a mark of 10 x 4 at each place, and a text that was read up to 11 to the right of it."""
     m = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey as page"), F.expr("l_linenumber as mark"), F.expr("l_suppkey * 1d as x"), F.expr("l_quantity as y"), F.col("l_partkey")).distinct()
     i = F.col("l_partkey")
-    text = F.when(i % 6 == 0, "12").when(i % 6 == 1, "- 7 -").when(i % 6 == 2, "[123]").when(i % 6 == 3, "0").when(i % 6 == 4, "12345").otherwise("p.4")
+    text, score = _read_texts(i)
     rows = m.withColumn("id", F.concat_ws(":", "page", "mark", "x", "y", "l_partkey"))
     marks = rows.select("id", "page", "mark", F.col("x").alias("mx0"), F.col("y").alias("my0"), (F.col("x") + 10).alias("mx1"), (F.col("y") + 4).alias("my1"))
     left = F.col("x") + i % 12
-    reads = rows.select("id", text.alias("text"), F.when(i % 5 == 0, 0.92).otherwise(0.96).alias("score"), left.alias("x0"), F.col("y").alias("y0"), (left + 10).alias("x1"), (F.col("y") + 4).alias("y1"))
+    reads = rows.select("id", text.alias("text"), score.alias("score"), left.alias("x0"), F.col("y").alias("y0"), (left + 10).alias("x1"), (F.col("y") + 4).alias("y1"))
     found = pages.read_marks(marks.drop("page"), reads, "id")
     return found.join(rows.select("id", "page"), "id").select("page", "mark", "text")
 
