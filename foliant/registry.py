@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from foliant.plans import archive, boards, documents, feeds, lookups, marks, naming, pages, rasters, repack, requests, status, strips  # noqa: E402, F401  they register themselves
+from foliant.plans import archive, boards, documents, feeds, grounds, lookups, marks, naming, pages, rasters, repack, requests, status, strips  # noqa: E402, F401  they register themselves
