@@ -88,13 +88,13 @@ def told_status(status: Column, challenge: Column) -> Column:
 
 
 def job_id(value: Column) -> Column:
-    """12 to 32 hexadecimal digits, or null."""
-    return F.when(value.rlike("^[0-9a-f]{12,32}$"), value)
+    """1 to 64 letters, digits and `-`, or null."""
+    return F.when(value.rlike(r"^[A-Za-z0-9-]{1,64}\z"), value)
 
 
 def rest_id(value: Column) -> Column:
     """1 to 64 letters, digits, `_` and `-`, or null."""
-    return F.when(value.rlike("^[A-Za-z0-9_-]{1,64}$"), value)
+    return F.when(value.rlike(r"^[A-Za-z0-9_-]{1,64}\z"), value)
 
 
 def progress_body(raw: Column) -> Column:

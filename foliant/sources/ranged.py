@@ -126,7 +126,7 @@ def probed_size(url: str, headers: dict[str, str]) -> int | None:
         _, said = http_range(url, 0, 1, headers)
     except OSError:
         return None
-    told = re.fullmatch(r"bytes 0-0/(\d+)", said.strip())
+    told = re.search(r"bytes\s+\d+-\d+/(\d+)", said, re.I)
     return int(told[1]) or None if told else None
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from foliant.functions.names import job_id
+
 # Jobs of a board and how long one stays; answers of a cache and how long one that found something, or nothing, is fresh. In seconds.
 JOBS, JOB_S = 64, 900
 ANSWERS, FOUND_S, MISSED_S = 512, 900, 300
@@ -82,9 +84,9 @@ def _in_order(rows: DataFrame, schema: str, out: str, begin: Callable) -> DataFr
 def board_stands(updates: DataFrame, most: int = JOBS, stay: float = JOB_S) -> DataFrame:
     """`STANDS` of `UPDATES`: after each update, how its job stands and how many jobs the board has. Updates count by time, those of one time by their other columns.
 
-    Rows without a board or a time are left out; null jobs are one job.
+    Rows without a board, a time or a legal job id (functions.names.job_id) are left out.
     """
-    return _in_order(updates, UPDATES, STANDS, lambda: Board(most=most, stay=stay))
+    return _in_order(updates.where(job_id(F.col("job")).isNotNull()), UPDATES, STANDS, lambda: Board(most=most, stay=stay))
 
 
 def cached_answers(asked: DataFrame, most: int = ANSWERS) -> DataFrame:
@@ -115,5 +117,5 @@ class _Boards(StatefulProcessor):
 
 def boards_of_stream(updates: DataFrame, most: int = JOBS, stay: float = JOB_S) -> DataFrame:
     """board_stands() of a stream; a batch's updates are taken in their order, batches as they come. State in RocksDB (spark.sql.streaming.stateStore.providerClass)."""
-    own = updates.select([c.split()[0] for c in UPDATES.split(", ")]).where("board is not null and ts is not null")
+    own = updates.select([c.split()[0] for c in UPDATES.split(", ")]).where(F.col("board").isNotNull() & F.col("ts").isNotNull() & job_id(F.col("job")).isNotNull())
     return own.groupBy("board").transformWithStateInPandas(_Boards(most, stay), STANDS, "append", "none")

@@ -20,6 +20,8 @@ T0 = datetime(2024, 1, 1)
 def plain_board(rows, most, stay):
     board, out = OrderedDict(), []
     for _, ts, job, *new in rows:
+        if job is None or job == "no/job":
+            continue
         old = board.pop(job, {"stage": "starting", "done": 0, "total": 0})
         board[job] = old | {k: v for k, v in zip(("stage", "done", "total"), new) if v is not None} | {"at": ts}
         for k in [k for k, v in board.items() if (ts - v["at"]).total_seconds() > stay]:
@@ -35,7 +37,7 @@ def updates():
     r = random.Random(1)
     none = lambda v: r.choice([None, v, v])
     at = lambda i: T0 + timedelta(seconds=i * 40)
-    return [(b, at(i) + timedelta(seconds=r.choice([0, 5]) if b else 0), r.choice([None, *"abcdefgh"]) if b == "x" else f"j{r.randrange(200)}", none(f"s{i}"), none(i), none(2 * i)) for b in ("x", "y") for i in range(300)]
+    return [(b, at(i) + timedelta(seconds=r.choice([0, 5]) if b else 0), r.choice([None, "no/job", *"abcdefgh"]) if b == "x" else f"j{r.randrange(200)}", none(f"s{i}"), none(i), none(2 * i)) for b in ("x", "y") for i in range(300)]
 
 
 def in_order(rows):
