@@ -139,11 +139,15 @@ class Cutter:
     # what rows are, from `at` on
 
     def _mask(self, kind: str, at: int, stop: int) -> np.ndarray:
-        lo, hi = self.rows["lo"][at:stop], self.rows["hi"][at:stop]
-        spread = hi - lo
         if kind == "paper":
             return self.rows["paper"][at:stop]
-        return {"quiet": spread <= QUIET, "white": (spread <= QUIET) & (lo >= WHITE), "black": (spread <= QUIET) & (hi <= BLACK), "near": (lo >= WHITE) | (hi <= BLACK), "faint": spread <= FAINT}[kind]
+        lo, hi = self.rows["lo"][at:stop], self.rows["hi"][at:stop]
+        if kind == "near":
+            return (lo >= WHITE) | (hi <= BLACK)
+        if kind == "faint":
+            return hi - lo <= FAINT
+        quiet = hi - lo <= QUIET
+        return quiet & (lo >= WHITE) if kind == "white" else quiet & (hi <= BLACK) if kind == "black" else quiet
 
     def _pure(self, at: int, start: int, stop: int, least: int) -> list[Run]:
         """Runs of white or of black within rows start to stop, from `at` on."""
