@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.lineage import cut_lineage
+
 RAW = "name string, base string, is_mixin boolean, field string, value string"
 
 # What a field may be, as (field, condition over its name).
@@ -43,28 +45,57 @@ def read_toml(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, RAW)
 
 
-def ancestry(raw: DataFrame, most: int = 90) -> DataFrame:
-    """(name, ancestor, depth, problem): each name, itself at depth 0, then its bases; a cycle or an unknown base ends the chain and is told.
+def _bases(raw: DataFrame) -> DataFrame:
+    return cut_lineage(raw.groupBy("name").agg(F.max("base").alias("base")))
+
+
+def _climbed(own: DataFrame, rows: DataFrame, keys: list[str], value: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """`rows` (name, keys, value, depth) of each name of `own` (name, base) and of all its bases, the nearest of each key; and the names whose chains never end.
 
-    A recursive query; chains longer than `most` fail rather than being cut.
+    Each round doubles how far up a name has looked, so rounds go with the logarithm of the longest chain. Only names that are in a cycle or lead to one are left in the end.
     """
-    return raw.sparkSession.sql(
-        """WITH RECURSIVE own AS (SELECT name, max(base) AS base FROM {raw} GROUP BY name),
-        chain(name, ancestor, next, depth, path) MAX RECURSION LEVEL """ + str(most + 5) + """ AS (
-          SELECT name, name, base, 0, array(name) FROM own
-          UNION ALL SELECT c.name, o.name, o.base, c.depth + 1, concat(c.path, array(o.name)) FROM chain c JOIN own o ON o.name = c.next WHERE NOT array_contains(c.path, c.next))
-        SELECT c.name, c.ancestor, c.depth, CASE WHEN c.next IS NULL THEN NULL WHEN array_contains(c.path, c.next) THEN 'cycle' WHEN o.name IS NULL THEN 'unknown base' END AS problem
-        FROM chain c LEFT JOIN own o ON o.name = c.next""",
-        raw=raw,
-    )
+    base_of = own.where("base is not null").select("name", F.col("base").alias("to"))
+    up, step, before = cut_lineage(base_of.join(own.select(F.col("name").alias("to")), "to", "left_semi")), 1, None
+    nearest = [] if value is None else [F.min_by(value, "depth").alias(value)]
+    while (left := up.count()) and not (left == before and step >= left):
+        above = up.join(rows.withColumnRenamed("name", "to"), "to").withColumn("depth", (F.col("depth") + step).cast("int")).select(rows.columns)
+        rows = cut_lineage(rows.union(above).groupBy("name", *keys).agg(*nearest, F.min("depth").alias("depth")).select(rows.columns))
+        up = cut_lineage(up.join(up.select(F.col("name").alias("to"), F.col("to").alias("_next")), "to").select("name", F.col("_next").alias("to")))
+        step, before = 2 * step, left
+    return rows, up.select("name")
+
+
+def _ancestors(own: DataFrame) -> DataFrame:
+    pairs = _climbed(own, own.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("depth")), ["ancestor"])[0]
+    last = F.max("depth").over(Window.partitionBy("name"))
+    bases = own.select(F.col("name").alias("ancestor"), F.col("base").alias("_base"))
+    known = own.select(F.col("name").alias("_base"), F.lit(True).alias("_known"))
+    told = pairs.withColumn("_last", last).join(bases, "ancestor").join(known, "_base", "left")
+    return told.select("name", "ancestor", "depth", F.when(F.col("_base").isNull(), None).when(F.col("_known").isNull(), "unknown base").when(F.col("depth") == F.col("_last"), "cycle").alias("problem"))
+
+
+def ancestry(raw: DataFrame) -> DataFrame:
+    """(name, ancestor, depth, problem): each name, itself at depth 0, then its bases, however many; a cycle or an unknown base ends the chain and is told."""
+    return _ancestors(_bases(raw))
+
+
+def chains(raw: DataFrame) -> DataFrame:
+    """(name, depth, problem): how long each name's chain is and what ends it before its root, as ancestry() tells it; one row a name all the way."""
+    own = _bases(raw)
+    ended = own.where("base is null").select("name", F.lit("root").alias("end"), F.lit(None).cast("string").alias("problem"), F.lit(0).alias("depth"))
+    unknown = own.where("base is not null").join(own.select(F.col("name").alias("base")), "base", "left_anti")
+    ended = ended.union(unknown.select("name", F.lit("root"), F.lit("unknown base"), F.lit(0)))
+    rows, endless = _climbed(own, ended, ["end"], "problem")
+    # What is in a cycle or leads to one: its bases are too, so these chains are looked at by themselves.
+    cyclic = _ancestors(cut_lineage(own.join(endless, "name", "left_semi")))
+    return rows.select("name", "depth", "problem").union(cyclic.groupBy("name").agg(F.max("depth").alias("depth"), F.max("problem").alias("problem")))
 
 
 def inherited(raw: DataFrame) -> DataFrame:
     """(name, field, value): every field of a profile, its own value before its bases', the nearest base first. Mixins are no profiles."""
-    fields = raw.where("field is not null").select(F.col("name").alias("ancestor"), "field", "value")
+    fields = raw.where("field is not null").groupBy("name", "field").agg(F.min("value").alias("value")).withColumn("depth", F.lit(0))
     names = raw.where("not is_mixin").select("name").distinct()
-    all_fields = ancestry(raw).join(names, "name", "left_semi").join(fields, "ancestor")
-    return all_fields.groupBy("name", "field").agg(F.min_by("value", "depth").alias("value"))
+    return _climbed(_bases(raw), cut_lineage(fields), ["field"], "value")[0].join(names, "name", "left_semi").select("name", "field", "value")
 
 
 def problems(columns: list[str]) -> Column:

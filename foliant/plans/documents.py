@@ -102,7 +102,7 @@ def profile_inherit(spark, sf_dir):
 @query(f"""WITH {_CHAIN} SELECT 'p' || k AS name, CAST(max(depth) AS INT) AS depth, CASE WHEN min(a) % 97 = 0 THEN 'unknown base' END AS problem FROM c GROUP BY k""")
 def profile_chain(spark, sf_dir):
     """How deep each profile's chain goes, and what ends it before its root."""
-    return profiles.ancestry(_raw_profiles(spark, sf_dir)).groupBy("name").agg(F.max("depth").alias("depth"), F.max("problem").alias("problem"))
+    return profiles.chains(_raw_profiles(spark, sf_dir))
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size - 25 < 0 THEN 'descreen_deadband' END, CASE WHEN p_size / 30.0 > 1 THEN 'defringe_strength' END, CASE WHEN p_size - 2 <= 0 THEN 'gamma' END, CASE WHEN p_size * 3 > 100 THEN 'jpeg_quality' END,
