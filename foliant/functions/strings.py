@@ -36,11 +36,21 @@ def decode_token(token: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """Tenths are rounded in whole numbers: a half, which is exact here, goes to the even tenth."""
+    n = n.cast("double").cast("long")
+
+    def tenths(unit: int) -> Column:
+        over = n % unit * 10
+        rest = over % unit * 2
+        down = F.floor(n / unit) * 10 + F.floor(over / unit)
+        t = down + F.when((rest > unit) | ((rest == unit) & (down % 2 == 1)), 1).otherwise(0)
+        return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2))
-        .otherwise(F.format_string("%.1f GB", n / 1024**3))
+        .when(n < 1024**2, F.concat(tenths(1024), F.lit(" KB")))
+        .when(n < 1024**3, F.concat(tenths(1024**2), F.lit(" MB")))
+        .otherwise(F.concat(tenths(1024**3), F.lit(" GB")))
     )
 
 

@@ -50,3 +50,9 @@ def test_as_of_takes_the_latest_row_not_after(spark):
     left = spark.createDataFrame([("u", 5, "a"), ("u", 0, "b"), ("w", 9, "c")], "k string, t int, name string")
     right = spark.createDataFrame([("u", 1, 10), ("u", 5, 50), ("u", 6, 60)], "k string, t int, v int")
     assert {r.name: r.v for r in as_of(left, right, ["k"], "t", ["v"]).collect()} == {"a": 50, "b": None, "c": None}
+
+
+def test_sizes_on_half_a_tenth_go_to_the_even_tenth(spark):
+    sizes = [1280, 1792, 3328, 894_208, 1024**2 + 1024**2 // 4, 1024**2 - 1, 3 * 1024**3 + 3 * 1024**3 // 4, 5 * 1024**4 + 7, -5]
+    texts = [f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB" if n < 1024**3 else f"{n / 1024**3:.1f} GB" for n in sizes]
+    assert texts[:2] == ["1.2 KB", "1.8 KB"] and col(spark, sizes, human_bytes, "long") == texts
