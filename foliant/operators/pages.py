@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +80,11 @@ def read_marks(marks: DataFrame, reads: DataFrame, page: str) -> DataFrame:
 
 def read_lines(lines: DataFrame) -> DataFrame:
     """`lines` (text, score: a mark read as one line) with `found`: true, it is a page number of two digits or more; false, it holds no digit; null, the mark's surroundings have to be read."""
-    number = folio_number(F.col("text"))
-    sure = number.isNotNull() & (F.length(number) >= 2) & (F.col("score") >= SURE_LINE)
-    return lines.withColumn("found", F.when(sure, True).when(~F.coalesce(F.col("text"), F.lit("")).rlike("[0-9]"), False))
+    return lines.withColumn("found", F.when(_sure_line(F.col("text"), F.col("score")), True).when(~F.coalesce(F.col("text"), F.lit("")).rlike("[0-9]"), False))
+
+
+def _sure_line(text: Column, score: Column) -> Column:
+    return (F.length(folio_number(text)) >= 2) & (score >= SURE_LINE)
 
 
 def folio_number(text: Column) -> Column:
@@ -115,17 +120,20 @@ def pure(v: Column) -> Column:
     return F.when(v <= PURE, 0).when(v >= 255 - PURE, 255).otherwise(v)
 
 
-def smooth_length(n: Column, most: int = 1 << 20) -> Column:
-    """The least length of at least n whose only prime factors are 2, 3, 5 and 7."""
-    lengths = sorted(a * b * c * d for a in _powers(2, most) for b in _powers(3, most // a) for c in _powers(5, most // (a * b)) for d in _powers(7, most // (a * b * c)))
-    return F.array_min(F.filter(F.array(*map(F.lit, lengths)), lambda x: x >= n))
+def smooth_length(n: Column, most: tuple[int, ...] = (62, 39, 27, 22)) -> Column:
+    """The least length of at least n whose only prime factors are 2, 3, 5 and 7, each at most so many times as `most` says; null if there is none below 2^63."""
+    lengths = [1]
+    for p, times in zip((2, 3, 5, 7), most):
+        lengths = [x * p**k for x in lengths for k in range(times + 1) if x * p**k < 1 << 63]
+    known = np.array(sorted(lengths), np.int64)
 
+    @F.arrow_udf("long")
+    def least(wanted: pa.Array) -> pa.Array:
+        at = np.searchsorted(known, pc.fill_null(wanted, 0).to_numpy(zero_copy_only=False))
+        none = (at == len(known)) | pc.is_null(wanted).to_numpy(zero_copy_only=False)
+        return pa.array(known[np.minimum(at, len(known) - 1)], mask=none)
 
-def _powers(p: int, most: int) -> list[int]:
-    out = [1]
-    while out[-1] * p <= most:
-        out.append(out[-1] * p)
-    return out
+    return least(n.cast("long"))
 
 
 def open_window(width: Column, height: Column) -> Column:

@@ -56,3 +56,20 @@ def test_sizes_on_half_a_tenth_go_to_the_even_tenth(spark):
     sizes = [1280, 1792, 3328, 894_208, 1024**2 + 1024**2 // 4, 1024**2 - 1, 3 * 1024**3 + 3 * 1024**3 // 4, 5 * 1024**4 + 7, -5]
     texts = [f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1024**2 else f"{n / 1024**2:.1f} MB" if n < 1024**3 else f"{n / 1024**3:.1f} GB" for n in sizes]
     assert texts[:2] == ["1.2 KB", "1.8 KB"] and col(spark, sizes, human_bytes, "long") == texts
+
+
+def test_smooth_lengths_of_any_size(spark):
+    from foliant.operators import pages
+
+    rows = spark.createDataFrame([(n,) for n in (None, 0, 1, 11, 4096, 4097, 1 << 20, (1 << 40) + 1, (1 << 62) + 1, (1 << 63) - 1)], "n long")
+    free = [r[0] for r in rows.select(pages.smooth_length(F.col("n"))).collect()]
+    bound = [r[0] for r in rows.select(pages.smooth_length(F.col("n"), (11, 7, 5, 4))).collect()]
+
+    def least(n, most):  # the least multiple of a power of two of each product of the others
+        odd = [3**b * 5**c * 7**d for b in range(most[1] + 1) for c in range(most[2] + 1) for d in range(most[3] + 1)]
+        found = [m << k for m in odd for k in range(most[0] + 1) if n <= m << k < 1 << 63]
+        return min(found, default=None)
+
+    for got, most in ((free, (62, 39, 27, 22)), (bound, (11, 7, 5, 4))):
+        assert got == [None if r.n is None else least(r.n, most) for r in rows.collect()]
+    assert free[4:6] == [4096, 4116] and bound[4] == 4116 and bound[-2] is None
