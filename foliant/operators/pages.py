@@ -65,12 +65,14 @@ def between_lines(gaps: DataFrame, boxes: DataFrame, key: str, reach: int) -> Da
     return ends.where("_a > 0 and _b > 0 and _r > _l").select(gaps.columns)
 
 
-def read_marks(marks: DataFrame, reads: DataFrame, page: str) -> DataFrame:
+def read_marks(marks: DataFrame, reads: DataFrame, page: str, lines: bool = False) -> DataFrame:
     """(page, mark, text): page numbers. Of the `reads` (page, text, score, x0, y0, x1, y1) those that name a number, cover half a mark's area, and have its centre within the mark and a quarter about it.
 
-    `marks`: (page, mark, mx0, my0, mx1, my1), the few candidates of a page; one without an area has no number.
+    `marks`: (page, mark, mx0, my0, mx1, my1), the few candidates of a page; one without an area has no number. `lines`: the reads are what the marks were read as
+    lines, too, so that those are trusted which read_lines() finds.
     """
-    both = marks.join(reads.where((F.col("score") >= SURE) & (folio_number(F.col("text")) != "0")), page)
+    sure = (F.col("score") >= SURE) & (folio_number(F.col("text")) != "0")
+    both = marks.join(reads.where(sure | _sure_line(F.col("text"), F.col("score")) if lines else sure), page)
     over = lambda a, b, lo, hi: F.greatest(F.lit(0.0), F.least(F.col(b), F.col(hi)) - F.greatest(F.col(a), F.col(lo)))
     shared = over("x0", "x1", "mx0", "mx1") * over("y0", "y1", "my0", "my1")
     area = (F.col("mx1") - F.col("mx0")) * (F.col("my1") - F.col("my0"))

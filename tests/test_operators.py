@@ -73,3 +73,12 @@ def test_smooth_lengths_of_any_size(spark):
     for got, most in ((free, (62, 39, 27, 22)), (bound, (11, 7, 5, 4))):
         assert got == [None if r.n is None else least(r.n, most) for r in rows.collect()]
     assert free[4:6] == [4096, 4116] and bound[4] == 4116 and bound[-2] is None
+
+
+def test_marks_read_as_lines_are_trusted_at_less(spark):
+    from foliant.operators import pages
+
+    marks = spark.createDataFrame([(p, 1, 0.0, 0.0, 10.0, 4.0) for p in range(5)], "page int, mark int, mx0 double, my0 double, mx1 double, my1 double")
+    reads = spark.createDataFrame([(0, "12", 0.92), (1, "7", 0.92), (2, "7", 0.96), (3, "12", 0.89), (4, "0", 0.99)], "page int, text string, score double").selectExpr("*", "1d as x0", "0d as y0", "11d as x1", "4d as y1")
+    assert sorted(r.page for r in pages.read_marks(marks, reads, "page").collect()) == [2]
+    assert sorted(r.page for r in pages.read_marks(marks, reads, "page", lines=True).collect()) == [0, 2]
