@@ -33,6 +33,6 @@ k3 AS (SELECT k.* FROM k2 k JOIN p2 p ON p.page = k.page WHERE abs(k.y - p.y) >
 SELECT page, CAST(1 AS INT) AS peak, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, v FROM p1 UNION ALL SELECT page, 2, y, x, v FROM p2 UNION ALL SELECT page, 3, y, x, v FROM p3""")
 def spectrum_tops(spark, sf_dir):
     """Three peaks of the vectors of a label as a spectrum, each of which strikes what is about it."""
-    v = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").alias("page"), (F.col("vec_id") % 500).alias("y"), F.posexplode(F.transform("embedding", lambda e: F.floor(F.abs(e) * 1000))).alias("x", "v"))
+    v = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").alias("page"), (F.col("vec_id") % 500).alias("y"), F.posexplode(F.transform("embedding", lambda e: F.floor(F.abs(e) * F.lit(1000).cast("float")))).alias("x", "v"))
     found = marks.spectrum_peaks(v.withColumn("x", F.col("x").cast("long")), "page", 3, 5, 4, 3.0, 200.0, 6, 8)
     return found.select("page", "peak", "y", "x", "v")

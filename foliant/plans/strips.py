@@ -58,7 +58,8 @@ s AS (SELECT vec_id, list_min(a) AS lo, list_max(a) AS hi, list_avg(y) AS mean,
 o AS (SELECT *, len(list_filter(y, lambda v: abs(v - mean) > 24)) AS off_mean FROM s)
 SELECT CAST(vec_id % 7 AS VARCHAR) AS book, vec_id AS row, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, hi - lo <= 15 OR (deviation <= 10 AND off_mean <= 0.0025 * len(y)) AS paper, CAST(CASE WHEN hi - lo > 48 THEN off_mean ELSE 0 END AS INT) AS ink FROM o""")
 def strip_row_features(spark, sf_dir):
-    shade = lambda x: F.when(F.col("vec_id") % 5 == 0, 200 + F.floor(F.abs(x) * 20).cast("int")).otherwise(F.least(F.lit(255), F.floor(F.abs(x) * 600).cast("int")))
+    single = lambda n: F.lit(n).cast("float")  # noqa: E731  products of single precision, as in SQL; a whole number would make them double
+    shade = lambda x: F.when(F.col("vec_id") % 5 == 0, 200 + F.floor(F.abs(x) * single(20)).cast("int")).otherwise(F.least(F.lit(255), F.floor(F.abs(x) * single(600)).cast("int")))
     rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("book"), F.col("vec_id").alias("row"), F.transform("embedding", shade).alias("red"))
     bands = rows.withColumn("green", F.transform("red", lambda x: 255 - x)).withColumn("blue", F.transform("red", lambda x: F.floor(x / 2).cast("int")))
     return strip_features(bands).select("book", "row", "lo", "hi", "paper", "ink")
