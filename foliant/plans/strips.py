@@ -83,20 +83,19 @@ _MASKS = """r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey OR
 
 def _two_masks(spark, sf_dir):
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.row_number().over(w) - 1).alias("row"), (F.col("l_quantity") > 15).alias("a"), (F.col("l_discount") > 0.04).alias("b"))
-    return rows, *(masks.mask_runs(rows, ["l_suppkey"], "row", F.col(c)) for c in "ab")
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", (F.row_number().over(w) - 1).alias("row"), (F.col("l_quantity") > 15).alias("a"), (F.col("l_discount") > 0.04).alias("b"))
 
 
 @query(f"""WITH {_MASKS}, o AS (SELECT l_suppkey, row, unnest(['and', 'or', 'minus', 'not']) AS how, unnest([a AND b, a OR b, a AND NOT b, NOT a]) AS v FROM r),
 i AS (SELECT *, row - row_number() OVER (PARTITION BY l_suppkey, how ORDER BY row) AS i FROM o WHERE v)
 SELECT l_suppkey, how, min(row) AS start, max(row) + 1 AS stop FROM i GROUP BY l_suppkey, how, i""")
 def mask_algebra(spark, sf_dir):
-    """AND, OR, AND NOT and NOT of two row masks, from runs to runs."""
-    rows, a, b = _two_masks(spark, sf_dir)
-    extents = rows.groupBy("l_suppkey").agg(F.lit(0).cast("long").alias("start"), F.count("*").alias("stop"))
-    out = masks.complement(a, extents, ["l_suppkey"]).withColumn("how", F.lit("not"))
-    for how in ("and", "or", "minus"):
-        out = out.unionByName(masks.combine(a, b, ["l_suppkey"], how).withColumn("how", F.lit(how)))
+    """AND, OR, AND NOT and NOT of two row masks, from runs to runs; the rows are numbered once."""
+    a, b, every = F.col("a"), F.col("b"), F.col("every")
+    named = F.array_compact(F.array(F.lit("every"), F.when(a, "a"), F.when(b, "b")))
+    on = _two_masks(spark, sf_dir).select("l_suppkey", "row", F.explode(named).alias("mask"))
+    runs = masks.mask_runs(on, ["l_suppkey", "mask"], "row", F.lit(True))
+    out = masks.algebra(runs, ["l_suppkey"], "mask", ["a", "b", "every"], {"and": a & b, "or": a | b, "minus": a & ~b, "not": every & ~a})
     return out.select("l_suppkey", "how", "start", "stop")
 
 
@@ -104,5 +103,6 @@ def mask_algebra(spark, sf_dir):
 SELECT l_suppkey, row, CASE WHEN a THEN min(row) OVER (PARTITION BY l_suppkey, a, i) END AS start, CASE WHEN a THEN max(row) OVER (PARTITION BY l_suppkey, a, i) + 1 END AS stop FROM i""")
 def mask_run_at(spark, sf_dir):
     """The run that holds each row, if one does."""
-    rows, a, _ = _two_masks(spark, sf_dir)
+    rows = _two_masks(spark, sf_dir)
+    a = masks.mask_runs(rows, ["l_suppkey"], "row", F.col("a"))
     return masks.run_at(a, rows.select("l_suppkey", F.col("row").cast("long").alias("row")), ["l_suppkey"], "row")
