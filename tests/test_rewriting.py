@@ -159,3 +159,9 @@ def test_json_by_pointers(spark):
     assert [b["metadata"]["title"] if isinstance(b, dict) and "metadata" in b else b for b in of] == ["T (1 of 3)", "T (2 of 3)", "T (3 of 3)", {"links": []}, 7, "T (1 of 3)", "T (2 of 3)", "T (3 of 3)"]
     assert of[1]["links"][0]["href"].endswith("?part=2&parts=3") and "part=" not in of[1]["links"][1]["href"] and len(got["publications"]) == 1
     assert "templated" not in got["publications"][0]["links"][0] and got["alternate"][0]["href"] == f"http://me:80/my%20page/dl/{token('https://cat.org/z')}"
+
+
+def test_feeds_of_a_small_file_are_dealt_to_all_tasks(spark):
+    from foliant import registry
+
+    assert registry.QUERIES["rewritten_feeds"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
