@@ -55,14 +55,14 @@ class Ids:
         #: Characters for which folding case and composing are plain; words with others are the library's.
         self.plain = regex.compile(r"[\n\x21-\x7EÀ-ÖØ-öø-įĲ-ňŊ-ž]+").fullmatch
         self.chars = _bytes_to_chars()
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.piece = _Known(self._piece)
         self.first = _Known(self._word)
-        self.later = self.first if self.drops_space else _Known(lambda w: self._word(" " + w))
+        self.later = self.first if self.drops_space else _Known(self._led)
 
     def _piece(self, piece: str) -> bytes:
         chars = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join([self.chars[b] for b in piece.encode()])
-        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(chars)]).tobytes()
 
     def _library(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -75,6 +75,19 @@ class Ids:
             return b"".join([piece[p] for p in self.pieces(word.lower() if self.drops_space else word)])
         return self._library(word)
 
+    def _led(self, word: str) -> bytes:
+        """Of a word that a space leads. Letters, with one other sign behind them or none, are cut without the pattern."""
+        if word.isascii():
+            if word.isalpha():
+                return array("I", [t.id for t in self.tokenize(self.chars[32] + word)]).tobytes()
+            letters, sign = word[:-1], word[-1:]
+            if letters.isalpha() and not sign.isspace():
+                return self.later[letters] + self.piece[sign]
+        elif (letters := word.rstrip(".,")).isalpha() and len(word) - len(letters) < 2 and self.plain(letters):
+            led = self.piece[" " + letters]
+            return led if len(letters) == len(word) else led + self.piece[word[-1]]
+        return self._word(" " + word)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""

@@ -33,6 +33,17 @@ def test_ids_are_the_librarys(spark):
             assert np.frombuffer(fast(t), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids, (name, t[:80])
 
 
+def test_words_of_letters_need_no_pattern():
+    """The usual words, and what follows them: their ids are the library's, and the pattern that cuts words is left alone."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    fast, library = ids_of.__wrapped__(path), Tokenizer.from_file(path)
+    text = "a thoronble, thionbleq. Ünïcödè größe. wordsx1 don' xé, (end)"
+    pieces, asked = fast.pieces, []
+    fast.pieces = lambda word: asked.append(word) or pieces(word)
+    assert np.frombuffer(fast(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == ["a", " (end)"]
+
+
 def test_token_files_give_back_every_document(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     path, folder = tokenizer_path("word_bpe_49k.json"), f"file://{tmp_path}/shards"
