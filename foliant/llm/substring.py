@@ -94,6 +94,17 @@ def numbered(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_of_windows(code: np.ndarray, width: int) -> np.ndarray:
+    """The places of the least (of equal ones the first) of each `width` values in a row, once each."""
+    at, size = np.arange(len(code)), 1
+    while size < width:
+        step = min(size, width - size)
+        a, b = at[:-step], at[step:]
+        at = np.where(code[b] < code[a], b, a)
+        size += step
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+
+
 def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word) of all places of the seeds of a text, numbered(). Hashes of long seeds are odd. Texts too short for a passage have none."""
     word = words_of(text)[2]
@@ -101,8 +112,7 @@ def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     short, long = grams(word, K), grams(word, LONG)
     at = np.flatnonzero(short % np.uint64(KEEP) == 0)
-    view = np.lib.stride_tricks.sliding_window_view(long, WINDOW)
-    far = np.unique(view.argmin(1) + np.arange(len(view)))
+    far = least_of_windows(long, WINDOW)
     one = np.uint64(1)
     return np.concatenate((numbered(short[at], at) & ~one, numbered(long[far], far) | one)).view(np.int64), np.concatenate((at, far)).astype(np.int32)
 
@@ -313,7 +323,7 @@ def align(a: str, b: str, fixed: list[tuple[int, int]] = ()) -> list[tuple[int,
         sb, eb, wb, fixed = sb[lo:hi], eb[lo:hi], wb[lo:hi], [(i, j - lo) for i, j in fixed]
     # Of a passage's words in a row, both texts have 2 * SIMILARITY - 1 of all at least: gaps part no more pairs.
     pairs, others = (w[:-1] * _P + w[1:] for w in (wa, wb))
-    if np.isin(pairs, others).sum() < (2 * SIMILARITY - 1) * MIN_WORDS - 1:
+    if sum(map(set(others.tolist()).__contains__, pairs.tolist())) < (2 * SIMILARITY - 1) * MIN_WORDS - 1:
         return []
     x, y = matches(wa, wb, fixed)
     out = []
@@ -435,7 +445,7 @@ def _lists(column: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
 def _held(word: np.ndarray, span: np.ndarray) -> int:
     """How many words the seeds hold, at `word` (ascending) and so many long."""
     end = np.maximum.accumulate(word + span)
-    return int((end - np.maximum(word, np.concatenate(([0], end[:-1])))).clip(0).sum())
+    return int(np.maximum(end - np.maximum(word, np.concatenate(([0], end[:-1]))), 0).sum())
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,14 +459,16 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, span, source, other = np.concatenate((word, word[more])), np.concatenate((span, span[more])), np.concatenate((f_doc, p_doc[more])), np.concatenate((f_word, p_word[more]))
             order = np.lexsort((word, source))
             word, span, source, other = (x[order] for x in (word, span, source, other))
-            for own in np.split(np.arange(len(word)), np.flatnonzero(np.diff(source)) + 1):
-                w, o, n = word[own], other[own], span[own]
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(source)) + 1))
+            enough = np.add.reduceat(span, starts) >= LEAST_WORDS  # most sources have one short seed only
+            for first, last in zip(starts[enough].tolist(), np.append(starts[1:], len(word))[enough].tolist()):
+                w, o, n = word[first:last], other[first:last], span[first:last]
                 if _held(w, n) < LEAST_WORDS:
                     continue
                 for members in chain_members(merge_diagonals(w, o, n)):
                     if sum(a[2] for a in members) < LEAST_WORDS:
                         continue
-                    inside = np.zeros(len(own), bool)
+                    inside = np.zeros(len(w), bool)
                     for a, b_, size, _ in members:
                         i, j = np.searchsorted(w, (a, a + size))
                         inside[i:j] |= (w[i:j] - o[i:j] == a - b_) & (w[i:j] + n[i:j] <= a + size)
@@ -465,7 +477,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     p, q = w[inside], o[inside]
                     s, e = max(0, int(p.min()) - MARGIN), int((p + n[inside]).max()) + MARGIN
                     os, oe = max(0, int(q.min()) - MARGIN) // GRID * GRID, -(-(int((q + n[inside]).max()) + MARGIN) // GRID) * GRID
-                    out.append((doc, int(source[own[0]]), s, e, os, oe, (p - s).tolist(), (q - os).tolist()))
+                    out.append((doc, int(source[first]), s, e, os, oe, (p - s).tolist(), (q - os).tolist()))
         if out:
             kinds = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "source_id", "s", "e", "os", "oe", "p", "q"])

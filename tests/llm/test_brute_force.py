@@ -352,6 +352,30 @@ def test_ties_across_tasks(spark):
     assert got == want
 
 
+def test_least_of_windows_against_each_window(monkeypatch):
+    """Repeats too; and where there are none, windows are not looked at one by one."""
+    r = np.random.default_rng(5)
+    for size, most in [(35, 10**9), (36, 10**9), (400, 10**9), (400, 30), (90, 2)]:
+        code = r.integers(0, most, size, dtype=np.uint64)
+        want = sorted({i + int(code[i : i + 35].argmin()) for i in range(size - 34)})
+        assert substring.least_of_windows(code, 35).tolist() == want
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", None)
+    assert len(substring.seeds_of(" ".join(f"w{i}" for i in range(300)))[0])
+
+
+def test_sources_of_one_short_seed_are_not_weighed(monkeypatch):
+    """A document's seeds of hundreds of sources: only those that could hold enough words are looked at."""
+    import pyarrow as pa
+
+    weighed, held = [], substring._held
+    monkeypatch.setattr(substring, "_held", lambda word, span: weighed.append(len(word)) or held(word, span))
+    hits = [{"word": 10 * i, "span": 4, "f_doc": i, "f_word": 3, "p_doc": None, "p_word": None} for i in range(300)]
+    hits += [{"word": 4000 + 5 * i, "span": 4, "f_doc": 900, "f_word": 5 * i, "p_doc": None, "p_word": None} for i in range(4)]
+    kind = pa.list_(pa.struct([("word", pa.int32()), ("span", pa.int32()), ("f_doc", pa.int64()), ("f_word", pa.int32()), ("p_doc", pa.int64()), ("p_word", pa.int32())]))
+    chains = list(substring._chain(iter([pa.RecordBatch.from_arrays([pa.array([999]), pa.array([hits], kind)], ["doc_id", "hits"])])))
+    assert [c.column(1).to_pylist() for c in chains] == [[900]] and set(weighed) == {4}
+
+
 def test_repeated_words_are_one_chain(spark):
     rows = [(1, "the " * 400 + "end"), (2, "The " * 300), (3, "so " + "the " * 500)]
     found = substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
