@@ -6,10 +6,11 @@ document that has it and to the one before it, not to all others: links grow wit
 that a document shares with another are merged along diagonals and chained by a Fenwick tree over the other's positions;
 chains are aligned word by word, between their seeds and outwards.
 
-What those ties could miss is looked for exactly: where more than two other documents have a long seed before, and no passage found covers all
+What those ties could miss is looked for exactly: where a long seed has more places before than it is tied to, and no passage found covers all
 runs of MIN_WORDS words about it, those runs themselves are tied to the first document that has them. So every run of MIN_WORDS
 words that an earlier document has is covered by a passage (where a document repeats something at shorter intervals: as often in a row
-as the other has it).
+as the other has it). Then every seed of either kind that has more places before than it is tied to, and that no passage found holds, is
+compared with all its places before by the words about both (_untied): where enough of them are in common for a passage, the two are aligned.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, group_of_equal, map_in_arrow, running_totals, write_table
+from .common import drop_table, group_of_equal, map_in_arrow, running_totals, slices, write_table
 
 #: A passage: its words, its share of words in common.
 MIN_WORDS, SIMILARITY = 50, 0.8
@@ -32,6 +33,11 @@ WINDOW = MIN_WORDS - LONG + 1
 MAX_GAP, GAP_COST, LEAST_WORDS, MARGIN = 40, 0.05, 2 * K - 1, 52
 #: Seeds of one diagonal become one anchor over so many words. Pieces of sources start and end at multiples of GRID words, so that many chains ask for the same.
 MERGE, GRID, SALTS = 16, 64, 16
+#: Of MIN_WORDS words in a row a passage may lack LACK; the other text may have SPARE more, so these words reach so far beyond a seed. Places of a seed are compared in squares of about BLOCK by BLOCK.
+LACK, SPARE = MIN_WORDS - round(MIN_WORDS * SIMILARITY), int(MIN_WORDS / SIMILARITY) - MIN_WORDS
+REACH, BLOCK = MIN_WORDS - K + SPARE, 1 << 13
+#: Ties that leave out places before: a seed has two at most, one in its first document and one in that before.
+UNTIED = "(before > 2 or before = 2 and p_doc <=> f_doc)"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -346,9 +352,9 @@ class _Tied:
     NAMES = ("key", "doc_id", "word", "f_doc", "f_word", "p_doc", "p_word", "before", "open")
 
     def __init__(self):
-        self.key = None  # of the last row; with it its document and word, what is tied to, the documents before it, whether its key is the task's first
+        self.key = None  # of the last row; with it its document and word, what is tied to, the key's places before its document and all so far, whether its key is the task's first
         self.doc = self.word = self.first = self.prior = None
-        self.before, self.open = 0, True
+        self.before, self.total, self.open = 0, 0, True
 
     def add(self, key: np.ndarray, doc: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
         n = len(key)
@@ -359,12 +365,11 @@ class _Tied:
         head = np.maximum.accumulate(np.where(new_key, row, -1))
         run = np.maximum.accumulate(np.where(new_doc, row, -1))
         f_doc, f_word = doc[head], word[head]
-        count = np.cumsum(new_doc)
-        before = count - np.where(head >= 0, count[head], 0)
+        before = run - head
         old = head < 0  # goes on from the batch before
         if old.any():
             f_doc, f_word = np.where(old, self.first[0], f_doc), np.where(old, self.first[1], f_word)
-            before = np.where(old, before + self.before, before)
+            before = np.where(old, np.where(run < 0, self.before, run + self.total), before)
         last = np.maximum(run - 1, 0)
         none = (run >= 0) & new_key[run]
         p_doc, p_word = doc[last], word[last]
@@ -377,20 +382,21 @@ class _Tied:
         p_doc = np.where(none, -(1 << 63), p_doc)
         opens = np.full(n, self.open and not fresh) if not new_key.any() else (row < (np.flatnonzero(new_key)[0] if not fresh else (np.flatnonzero(new_key)[1] if new_key.sum() > 1 else n))) & (self.open or fresh)
         self.key, self.doc, self.word, self.first, self.prior = key[-1], doc[-1], word[-1], (f_doc[-1], f_word[-1]), (p_doc[-1], p_word[-1])
-        self.before, self.open = int(before[-1]), bool(opens[-1])
+        self.before, self.total, self.open = int(before[-1]), int(n - head[-1] if head[-1] >= 0 else self.total + n), bool(opens[-1])
         keep = opens | (before > 0)
         return [x[keep] for x in (key, doc, word, f_doc, f_word, p_doc, p_word, before, opens.astype(np.int64))]
 
     def last(self) -> list[np.ndarray]:
         """What the next task goes on from, as a row."""
-        row = (self.key, self.doc, self.word, *self.first, *self.prior, self.before, 2)
+        row = (self.key, self.doc, self.word, *self.first, *self.prior, self.total, 2)
         return [np.array([x], np.int64) for x in row]
 
 
 def tie(rows: DataFrame, name: str) -> DataFrame:
     """(key, doc_id, word, f_doc, f_word, p_doc, p_word, before) of the `rows` (key, doc_id, word) whose key an earlier document has.
 
-    f: the first place of the key. p: its last place in the document before this one, of those that have it. before: how many of them there are.
+    f: the first place of the key. p: its last place in the document before this one, of those that have it. before: how many places of the key
+    the documents before this one have (where a document's places go over several tasks, its own may count too).
     Rows are dealt in ranges of (key, doc_id, word), so a frequent key's are dealt to many tasks; what goes over from one task to the next is one row for each.
     """
     spark = rows.sparkSession
@@ -403,7 +409,7 @@ def tie(rows: DataFrame, name: str) -> DataFrame:
 
         def out(columns: list[np.ndarray]) -> pa.RecordBatch:
             key, doc, word, f_doc, f_word, p_doc, p_word, before, opens = columns
-            arrays = [pa.array(key), pa.array(doc), pa.array(word, pa.int32()), pa.array(f_doc), pa.array(f_word, pa.int32()), pa.array(p_doc, mask=p_doc == -(1 << 63)), pa.array(p_word, pa.int32()), pa.array(np.minimum(before, 1 << 30), pa.int32()), pa.array(opens, pa.int32())]
+            arrays = [pa.array(key), pa.array(doc), pa.array(word, pa.int32()), pa.array(f_doc), pa.array(f_word, pa.int32()), pa.array(p_doc, mask=p_doc == -(1 << 63)), pa.array(p_word, pa.int32()), pa.array(before), pa.array(opens, pa.int32())]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(key), part), pa.int32())], [*names, "part"])
 
         for b in batches:
@@ -413,18 +419,18 @@ def tie(rows: DataFrame, name: str) -> DataFrame:
             yield out(tied.last())
 
     ordered = rows.repartitionByRange("key", "doc_id", "word").sortWithinPartitions("key", "doc_id", "word")
-    schema = "key long, doc_id long, word int, f_doc long, f_word int, p_doc long, p_word int, before int, open int, part int"
+    schema = "key long, doc_id long, word int, f_doc long, f_word int, p_doc long, p_word int, before long, open int, part int"
     found = write_table(map_in_arrow(ordered, run, schema, rows=1 << 16), name)
     carried, now = [], None
     for r in found.where("open = 2").orderBy("part").collect():  # one row for each task
         if now:
             carried.append((r.part, *now))
-        own = (r.key, r.f_doc, r.f_word, r.doc_id, r.word, r.p_doc, r.p_word, r.before + 1)
+        own = (r.key, r.f_doc, r.f_word, r.doc_id, r.word, r.p_doc, r.p_word, r.before)
         if now and now[0] == r.key:
             prior = own[5:7] if r.p_doc is not None else now[3:5] if now[3] != r.doc_id else now[5:7]
-            own = (r.key, *now[1:3], r.doc_id, r.word, *prior, now[7] + r.before + 1)
+            own = (r.key, *now[1:3], r.doc_id, r.word, *prior, now[7] + r.before)
         now = own
-    carry = F.broadcast(spark.createDataFrame(carried, "part int, _key long, _f_doc long, _f_word int, _doc long, _word int, _p_doc long, _p_word int, _docs int"))
+    carry = F.broadcast(spark.createDataFrame(carried, "part int, _key long, _f_doc long, _f_word int, _doc long, _word int, _p_doc long, _p_word int, _places long"))
     rows = found.where("open < 2").join(carry, ["part"], "left")
     goes_on = (F.col("open") == 1) & (F.col("_key") == F.col("key"))
     other = goes_on & F.col("p_doc").isNull()
@@ -432,7 +438,7 @@ def tie(rows: DataFrame, name: str) -> DataFrame:
     return rows.select(
         "key", "doc_id", "word", F.when(goes_on, F.col("_f_doc")).otherwise(F.col("f_doc")).alias("f_doc"), F.when(goes_on, F.col("_f_word")).otherwise(F.col("f_word")).alias("f_word"),
         F.when(other, prior("_doc", "_p_doc")).otherwise(F.col("p_doc")).alias("p_doc"), F.when(other, prior("_word", "_p_word")).otherwise(F.col("p_word")).alias("p_word"),
-        (F.col("before") + F.when(goes_on, F.col("_docs")).otherwise(F.lit(0))).alias("before"),
+        (F.col("before") + F.when(goes_on, F.col("_places")).otherwise(F.lit(0))).alias("before"),
     ).where("doc_id <> f_doc")
 
 
@@ -448,8 +454,8 @@ def _held(word: np.ndarray, span: np.ndarray) -> int:
     return int(np.maximum(end - np.maximum(word, np.concatenate(([0], end[:-1]))), 0).sum())
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, list of word, span, f_doc, f_word, p_doc, p_word) -> chains: documents, words and seeds."""
+def _chain(batches: Iterator[pa.RecordBatch], least: int = LEAST_WORDS) -> Iterator[pa.RecordBatch]:
+    """(doc_id, list of word, span, f_doc, f_word, p_doc, p_word) -> chains: documents, words and seeds, which hold `least` words at least."""
     for b in batches:
         out = []
         fields, ends = _lists(b.column(1))
@@ -460,19 +466,19 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((word, source))
             word, span, source, other = (x[order] for x in (word, span, source, other))
             starts = np.concatenate(([0], np.flatnonzero(np.diff(source)) + 1))
-            enough = np.add.reduceat(span, starts) >= LEAST_WORDS  # most sources have one short seed only
+            enough = np.add.reduceat(span, starts) >= least  # most sources have one short seed only
             for first, last in zip(starts[enough].tolist(), np.append(starts[1:], len(word))[enough].tolist()):
                 w, o, n = word[first:last], other[first:last], span[first:last]
-                if _held(w, n) < LEAST_WORDS:
+                if _held(w, n) < least:
                     continue
                 for members in chain_members(merge_diagonals(w, o, n)):
-                    if sum(a[2] for a in members) < LEAST_WORDS:
+                    if sum(a[2] for a in members) < least:
                         continue
                     inside = np.zeros(len(w), bool)
                     for a, b_, size, _ in members:
                         i, j = np.searchsorted(w, (a, a + size))
                         inside[i:j] |= (w[i:j] - o[i:j] == a - b_) & (w[i:j] + n[i:j] <= a + size)
-                    if _held(w[inside], n[inside]) < LEAST_WORDS:
+                    if _held(w[inside], n[inside]) < least:
                         continue
                     p, q = w[inside], o[inside]
                     s, e = max(0, int(p.min()) - MARGIN), int((p + n[inside]).max()) + MARGIN
@@ -510,11 +516,11 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "start", "length", "source_id", "source_start", "source_length", "words", "similarity", "w0", "w1"])
 
 
-def _aligned(tied: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _aligned(tied: DataFrame, docs: DataFrame, name: str, least: int = LEAST_WORDS) -> DataFrame:
     """The passages of the chains of `tied` (doc_id, word, span, f_doc, f_word, p_doc, p_word), with their first and last word (w0, w1)."""
     by_doc = tied.groupBy("doc_id").agg(F.collect_list(F.struct("word", "span", "f_doc", "f_word", "p_doc", "p_word")).alias("hits"))  # bounded by the document's length
     schema = "doc_id long, source_id long, s int, e int, os int, oe int, p array<int>, q array<int>"
-    chained = write_table(map_in_arrow(by_doc, _chain, schema).withColumn("chain", F.monotonically_increasing_id()), f"{name}-chains")
+    chained = write_table(map_in_arrow(by_doc, lambda batches: _chain(batches, least), schema).withColumn("chain", F.monotonically_increasing_id()), f"{name}-chains")
     sides = [("doc_id", "s", "e", F.lit(0)), ("source_id", "os", "oe", F.pmod(F.xxhash64("chain"), F.lit(SALTS)).cast("int"))]
     wanted = [chained.select("chain", F.lit(i).alias("side"), F.col(d).alias("doc_id"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), salt.alias("salt")) for i, (d, lo, hi, salt) in enumerate(sides)]
     wanted = wanted[0].union(wanted[1])
@@ -531,8 +537,8 @@ def _aligned(tied: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 
 
 def _left_over(tied: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc_id, word) of the long seeds that more than two others have before, where no passage covers all runs of MIN_WORDS about it."""
-    long = tied.where("key & 1 = 1 and before > 2").groupBy("doc_id").agg(F.collect_list(F.struct("key", "word")).alias("seeds"))
+    """(key, doc_id, word) of the long seeds that have more places before than they are tied to, where no passage covers all runs of MIN_WORDS about it."""
+    long = tied.where(f"key & 1 = 1 and {UNTIED}").groupBy("doc_id").agg(F.collect_list(F.struct("key", "word")).alias("seeds"))
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("w0", "w1")).alias("spans"))
     both = long.join(spans, "doc_id", "left")
     covered = lambda s: F.exists("spans", lambda p: (p["w0"] <= F.greatest(s["word"] + LONG - MIN_WORDS, F.lit(0))) & (p["w1"] >= s["word"] + MIN_WORDS - 1))
@@ -550,15 +556,159 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(numbered(whole[at], at).view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at, pa.int32())], ["key", "doc_id", "word"])
 
 
+def _holders(seeds: DataFrame, left: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, doc_id, word) of all places of the seeds `left` over, but in later copies."""
+    keys = left.select("key").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = seeds.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(keys, ["key", "_salt"], "left_semi").join(copies, "doc_id", "left_anti").select("key", "doc_id", "word")
+
+
 def _exact_rest(docs: DataFrame, seeds: DataFrame, left: DataFrame, copies: DataFrame) -> DataFrame:
     """Ties of the runs of MIN_WORDS about the seeds `left` over, among all documents that have those seeds."""
-    keys = left.select("key").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = seeds.where("key & 1 = 1").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    holders = salted.join(keys, ["key", "_salt"], "left_semi").join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("word").alias("places"))
+    holders = _holders(seeds.where("key & 1 = 1"), left, copies).groupBy("doc_id").agg(F.collect_set("word").alias("places"))
     runs = map_in_arrow(docs.hint("merge").join(holders, "doc_id").select("doc_id", "text", "places"), _runs, "key long, doc_id long, word int")
     return tie(write_table(runs, "runs"), "tied-runs")
 
 
+def _outside(places: DataFrame, found: DataFrame) -> DataFrame:
+    """The `places` (key, doc_id, word) of seeds that no passage of `found` holds."""
+    own = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "word")).alias("seeds"))
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("w0", "w1")).alias("spans"))
+    end = lambda s: s["word"] + F.when(s["key"].bitwiseAND(F.lit(1)) == 1, F.lit(LONG)).otherwise(F.lit(K)) - 1
+    inside = lambda s: F.exists("spans", lambda p: (p["w0"] <= s["word"]) & (p["w1"] >= end(s)))
+    left = F.filter("seeds", lambda s: ~F.coalesce(inside(s), F.lit(False)))
+    return own.join(spans, "doc_id", "left").select("doc_id", F.explode(left).alias("s")).select("s.key", "doc_id", "s.word")
+
+
+def _about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, list of key, word, later) -> of each place a byte of the hash of each word before the seed, the nearest first, and after it, REACH at most."""
+    for b in batches:
+        fields, ends = _lists(b.column(2))
+        for doc, text, lo, hi in zip(b.column(0).to_pylist(), b.column(1), ends[:-1], ends[1:]):
+            byte = (words_of(text.as_py())[2] >> np.uint64(56)).astype(np.uint8)
+            key, word, later = (f[lo:hi] for f in fields)
+            after = word + np.where(key & 1, LONG, K)
+            sides = [byte[max(0, p - REACH) : p][::-1].tobytes() for p in word.tolist()], [byte[q : q + REACH].tobytes() for q in after.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(later, pa.int32()), pa.array(np.full(len(key), doc)), pa.array(word, pa.int32()), *[pa.array(x, pa.binary()) for x in sides]], ["key", "later", "doc_id", "word", "left", "right"])
+
+
+def _codes(side: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, REACH) bytes, and how many each has."""
+    texts = side.to_pylist()
+    size = np.array([len(x) for x in texts], np.int64)
+    out = np.zeros((len(texts), REACH), np.uint8)
+    out[np.arange(REACH) < size[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
+    return out, size
+
+
+def _bits(code: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(n, 256): which bytes the first `size` of each have."""
+    row, at = np.nonzero(np.arange(REACH) < size[:, None])
+    bits = np.zeros((len(code), 256), bool)
+    bits[row, code[row, at]] = True
+    return bits
+
+
+def _common_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(pairs, words + 1): how long a longest common subsequence of each row of b (64 at most) and the first 0, 1, 2, ... of the same row of a is; as in _common."""
+    row = np.full(len(a), ~np.uint64(0))
+    out = np.zeros((len(a), a.shape[1] + 1), np.uint8)
+    for i in range(a.shape[1]):
+        u = row & np.packbits(b == a[:, i, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        row = row + u | row - u
+        out[:, i + 1] = 64 - np.bitwise_count(row)
+    return out
+
+
+def _may_align(a: list[np.ndarray], b: list[np.ndarray], span: int) -> np.ndarray:
+    """Of pairs of places, of whose sides a and b are the bytes (-1, -2: the text has ended), whether of some MIN_WORDS words in a row that hold the seed all but LACK can be in common, in their order."""
+    rest = MIN_WORDS - span
+    left, right = (_common_lengths(x[:, :rest], y) for x, y in zip(a, b))
+    return (left + right[:, ::-1]).max(axis=1, initial=0) >= rest - LACK
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, earlier and later places: lists of document, word, left, right) -> the pairs of places that may lie in a passage.
+
+    MIN_WORDS words that hold a seed hold three quarters of the rest of them in one of four ways about it, and lack no more than LACK of those about the other place. That is
+    asked first, by products of which words either has; then of all the words; then of all in their order. Words are compared by a byte of their hashes, so what is turned down has
+    too few in common for certain.
+    """
+    for b in slices(batches, 128, 1 << 20):
+        (e_doc, e_word, e_sides, e_ends), (d_doc, d_word, d_sides, d_ends) = (_places(b.column(i)) for i in (1, 2))
+        span = np.where(b.column(0).to_numpy() & 1, LONG, K)
+        has = np.concatenate([_bits(*x) for x in e_sides], axis=1)
+        rest = np.repeat(MIN_WORDS - span, np.diff(d_ends))
+        ways = []
+        for quarters in range(4):  # so many on the left
+            width = rest * quarters // 4, rest * (3 - quarters) // 4
+            wanted = np.concatenate([_bits(code, np.minimum(size, w)) for (code, size), w in zip(d_sides, width)], axis=1)
+            ended = sum(np.maximum(w - size, 0) for (_, size), w in zip(d_sides, width))  # words that the text is too short for
+            ways.append((wanted, wanted.sum(1) + ended - LACK, slice(0 if quarters else 256, 512 if quarters < 3 else 256)))
+        maybe: dict[int, list] = {K: [], LONG: []}
+        for cell, size in enumerate(span.tolist()):
+            lo = e_ends[cell]
+            others, doc = has[lo : e_ends[cell + 1]].astype(np.float32), e_doc[lo : e_ends[cell + 1]]
+            for at in range(d_ends[cell], d_ends[cell + 1], 256):
+                own = slice(at, min(at + 256, d_ends[cell + 1]))
+                n = np.searchsorted(doc, d_doc[own][-1])
+                near = np.zeros((own.stop - at, n), bool)
+                for wanted, least, used in ways:
+                    near |= wanted[own, used].astype(np.float32) @ others[:n, used].T >= least[own, None]
+                d, e = np.nonzero(near)
+                before = doc[e] < d_doc[own][d]
+                maybe[size] += _in_common(d[before] + at, e[before] + lo, d_sides, has, MIN_WORDS - size)
+        for size, pairs in maybe.items():
+            d, e = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int),) * 2
+            for at in range(0, len(d), 4096):
+                i, j = d[at : at + 4096], e[at : at + 4096]
+                sides = [[np.where(np.arange(64) < length[k, None], np.pad(code[k], ((0, 0), (0, 64 - REACH))).astype(np.int16), end) for code, length in of] for of, k, end in ((d_sides, i, -1), (e_sides, j, -2))]
+                fits = _may_align(*sides, size)
+                i, j = i[fits], j[fits]
+                yield pa.RecordBatch.from_arrays([pa.array(d_doc[i]), pa.array(d_word[i], pa.int32()), pa.array(np.full(len(i), size), pa.int32()), pa.array(e_doc[j]), pa.array(e_word[j], pa.int32())], ["doc_id", "word", "span", "f_doc", "f_word"])
+
+
+def _in_common(d: np.ndarray, e: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], has: np.ndarray, rest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs d, e that may have all but LACK of `rest` words in a row about a seed in common, in any order."""
+    out = []
+    for part in range(0, len(d), 1 << 13):
+        i, j = d[part : part + (1 << 13)], e[part : part + (1 << 13)]
+        held = np.zeros((2, len(i), rest + 1), np.uint8)
+        for side, (code, size) in enumerate(sides):
+            common = has[j[:, None], code[i, :rest].astype(np.int64) + 256 * side] & (np.arange(rest) < size[i, None])
+            np.cumsum(common, axis=1, out=held[side, :, 1:])
+        fits = (held[0] + held[1][:, ::-1]).max(axis=1) >= rest - LACK
+        out.append((i[fits], j[fits]))
+    return out
+
+
+def _places(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Documents, words and both sides' bytes of a column of lists of places, one list after the other and each by document, and where each ends (with a 0 before)."""
+    flat, ends = column.flatten(), np.cumsum([0, *[len(x) for x in column]])
+    doc, word = (flat.field(i).to_numpy() for i in (0, 1))
+    order = np.lexsort((doc, np.repeat(np.arange(len(column)), np.diff(ends))))
+    return doc[order], word[order], [tuple(x[order] for x in _codes(flat.field(i))) for i in (2, 3)], ends
+
+
+def _untied(docs: DataFrame, seeds: DataFrame, places: DataFrame, copies: DataFrame) -> DataFrame:
+    """Ties (doc_id, word, span, f_doc, f_word) of the seeds at `places` (key, doc_id, word) to all their places in earlier documents about which enough words are in common.
+
+    All pairs of a seed's places are looked at, by bits: that grows with the square of a common line's documents. A seed's places are dealt
+    to squares of at most about BLOCK by BLOCK, so no task holds more.
+    """
+    both = _holders(seeds, places, copies).withColumn("later", F.lit(0)).union(places.select("key", "doc_id", "word", F.lit(1)))
+    asked = both.groupBy("doc_id").agg(F.collect_list(F.struct("key", "word", "later")).alias("places"))  # bounded by the document's length
+    schema = "key long, later int, doc_id long, word int, left binary, right binary"
+    about = write_table(map_in_arrow(docs.hint("merge").join(asked, "doc_id").select("doc_id", "text", "places"), _about, schema), "about")
+    large = about.where("later = 0").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1")  # a row for each BLOCK places at most
+    dealt = about.join(F.broadcast(large), "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = dealt.withColumns({"_own": F.pmod(F.xxhash64("doc_id", "word"), F.col("n")).cast("int"), "_other": F.explode(F.sequence(F.lit(0), F.col("n") - 1))})
+    row, column = (F.when(F.col("later") == i, F.col("_own")).otherwise(F.col("_other")) for i in (0, 1))
+    of = lambda i: F.collect_list(F.when(F.col("later") == i, F.struct("doc_id", "word", "left", "right")))
+    squares = dealt.withColumns({"_row": row, "_column": column}).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "_row", "_column").groupBy("key", "_row", "_column").agg(of(0).alias("earlier"), of(1).alias("afterwards"))
+    return write_table(map_in_arrow(squares.select("key", "earlier", "afterwards"), _compare, "doc_id long, word int, span int, f_doc long, f_word int"), "untied")
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [seeds_of(t.as_py()) for t in b.column(1)]
@@ -597,14 +747,17 @@ def _passages(docs: DataFrame) -> DataFrame:
     span = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.lit(LONG)).otherwise(F.lit(K))
     found = _aligned(tied.withColumn("span", span), docs, "passages")
     left = write_table(_left_over(tied, found), "left-over")
+    places = write_table(_outside(tied.where(UNTIED), found), "places")
     drop_table(ties)
     rest = _exact_rest(docs, seeds, left, later)
     none = F.lit(None)
     more = _aligned(rest.withColumns({"span": F.lit(MIN_WORDS), "p_doc": none.cast("long"), "p_word": none.cast("int")}), docs, "more-passages")
+    untied = _untied(docs, seeds, write_table(_outside(places, more), "places"), later)
     for used in (seeds, left, rest):
         drop_table(used)
+    last = _aligned(untied.withColumns({"p_doc": none.cast("long"), "p_word": none.cast("int")}), docs, "last-passages", K)
     zero = F.lit(0).cast("long")
-    return found.union(more).drop("w0", "w1").distinct().union(copies.where(F.col("words") >= MIN_WORDS).select("doc_id", zero, "size", "first", zero, "size", "words", F.lit(1.0)))
+    return found.union(more).union(last).drop("w0", "w1").distinct().union(copies.where(F.col("words") >= MIN_WORDS).select("doc_id", zero, "size", "first", zero, "size", "words", F.lit(1.0)))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

@@ -429,3 +429,61 @@ def test_passages_whose_parts_occur_first_elsewhere(spark):
         text = {i: " ".join(w) for i, w in rows}
         found = substring.find_passages(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
         assert {(f.doc_id, f.source_id): text[f.doc_id][f.start : f.start + f.length].split() for f in found} == {(4, 3): sum(lines, []), (7, 6): q}
+
+
+def _scattered():
+    """Eight lines of a passage that eight documents have singly, before and after the document that has them all; a later one has the passage with every eighth word changed."""
+    r = random.Random(11)
+    make = lambda n: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n)]
+    lines = [make(8) for _ in range(8)]
+    texts = {100: make(60) + sum(lines, []) + make(60), 300: make(60) + sum(([*line[:7], "other"] for line in lines), []) + make(60)}
+    for i, line in enumerate(lines):
+        texts[i], texts[200 + i] = make(60) + line[:7] + make(60), make(60) + line[:7] + make(60)
+    return {i: " ".join(w) for i, w in texts.items()}
+
+
+def test_edited_passages_whose_seeds_are_scattered(spark):
+    found = substring.find_passages(spark.createDataFrame(list(_scattered().items()), "doc_id long, text string")).where("doc_id = 300").collect()
+    assert [(x.source_id, 55 <= x.words <= 64, x.similarity >= 0.8) for x in found] == [(100, True, True)]
+
+
+def test_places_of_one_seed_in_squares(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK", 2)
+    found = substring.find_passages(spark.createDataFrame(list(_scattered().items()), "doc_id long, text string")).where("doc_id = 300").collect()
+    assert [x.source_id for x in found] == [100]
+
+
+def test_ties_count_places_and_not_documents(spark):
+    """A document that has a seed at two places is tied to at one of them only."""
+    rows = spark.createDataFrame([(7, 1, 5), (7, 1, 400), (7, 2, 9), (8, 1, 70), (8, 3, 1), (8, 4, 2)], "key long, doc_id long, word int").repartition(3)
+    got = {(x.key, x.doc_id): x.left_out for x in substring.tie(rows, "ties").selectExpr("key", "doc_id", f"{substring.UNTIED} AS left_out").collect()}
+    assert got == {(7, 2): True, (8, 3): False, (8, 4): False}
+
+
+def test_what_may_align_loses_no_pair():
+    """Words with at most LACK of MIN_WORDS changed about a seed always pass; lengths are those of plain subsequences."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    for span in (substring.K, substring.LONG):
+        rest, own, other = substring.MIN_WORDS - span, [], []
+        for _ in range(200):
+            left = int(r.integers(0, rest + 1))
+            word = r.integers(0, 256, (2, substring.REACH))
+            lost = [np.zeros(substring.REACH, bool) for _ in (0, 1)]
+            for i in r.permutation(rest)[: substring.LACK]:
+                lost[int(i >= left)][i if i < left else i - left] = True
+            changed = [np.where(x, (w + 1) % 256, w) for w, x in zip(word, lost)]
+            for w, side, n in zip(changed, (0, 1), (left, rest - left)):
+                w[n:] = r.integers(0, 256, substring.REACH - n)
+            own.append([w.astype(np.uint8).tobytes() for w in changed])
+            other.append([w.astype(np.uint8).tobytes() for w in word])
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("word", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]))
+        lists = [pa.array([[(doc, 7, *x)] for x in side], kind) for doc, side in ((1, other), (2, own))]
+        got = list(substring._compare(iter([pa.RecordBatch.from_arrays([pa.array([int(span == substring.LONG)] * 200), *lists], ["key", "earlier", "afterwards"])])))
+        assert sum(x.num_rows for x in got) == 200
+        swapped = list(substring._compare(iter([pa.RecordBatch.from_arrays([pa.array([int(span == substring.LONG)] * 200), lists[1], lists[0]], ["key", "earlier", "afterwards"])])))
+        assert sum(x.num_rows for x in swapped) == 0  # only earlier documents count
+    a, b = r.integers(0, 6, (50, 30)), r.integers(0, 6, (50, 64))
+    lengths = substring._common_lengths(a, b)
+    assert all(lengths[i, n] == len(substring._common(a[i, :n].tolist(), b[i].tolist())[0]) for i in range(50) for n in (1, 8, 30))
