@@ -36,6 +36,8 @@ MERGE, GRID, SALTS = 16, 64, 16
 #: Of MIN_WORDS words in a row a passage may lack LACK; the other text may have SPARE more, so these words reach so far beyond a seed. Places of a seed are compared in squares of about BLOCK by BLOCK.
 LACK, SPARE = MIN_WORDS - round(MIN_WORDS * SIMILARITY), int(MIN_WORDS / SIMILARITY) - MIN_WORDS
 REACH, BLOCK = MIN_WORDS - K + SPARE, 1 << 13
+#: Documents that are asked for are told by so many numbers.
+BUCKETS = 1 << 18
 #: Ties that leave out places before: a seed has two at most, one in its first document and one in that before.
 UNTIED = "(before > 2 or before = 2 and p_doc <=> f_doc)"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -100,27 +102,47 @@ def numbered(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_of_windows(code: np.ndarray, width: int) -> np.ndarray:
-    """The places of the least (of equal ones the first) of each `width` values in a row, once each."""
+def _least(code: np.ndarray, width: int) -> np.ndarray:
+    """Of each `width` values in a row the place of the least, of equal ones the first."""
     at, size = np.arange(len(code)), 1
     while size < width:
         step = min(size, width - size)
         a, b = at[:-step], at[step:]
         at = np.where(code[b] < code[a], b, a)
         size += step
+    return at
+
+
+def least_of_windows(code: np.ndarray, width: int) -> np.ndarray:
+    """The places of the least (of equal ones the first) of each `width` values in a row, once each."""
+    at = _least(code, width)
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word) of all places of the seeds of a text, numbered(). Hashes of long seeds are odd. Texts too short for a passage have none."""
-    word = words_of(text)[2]
+def seeds_of_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, word) of all places of the seeds of some texts, numbered(). Hashes of long seeds are odd. Texts too short for a passage have none."""
+    start, _, word = words_of("\n".join(texts))
     if len(word) < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    first = np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in texts]]))
+    count = np.diff(first)
+    text = np.repeat(np.arange(len(texts)), count)
+    rest = first[text + 1] - np.arange(len(word))  # words to the text's end
     short, long = grams(word, K), grams(word, LONG)
-    at = np.flatnonzero(short % np.uint64(KEEP) == 0)
-    far = least_of_windows(long, WINDOW)
-    one = np.uint64(1)
-    return np.concatenate((numbered(short[at], at) & ~one, numbered(long[far], far) | one)).view(np.int64), np.concatenate((at, far)).astype(np.int32)
+    at = np.flatnonzero((short % np.uint64(KEEP) == 0) & (rest[: len(short)] >= K) & (count[text[: len(short)]] >= MIN_WORDS))
+    far = _least(long, WINDOW)
+    far = far[rest[: len(far)] >= MIN_WORDS]
+    far = far[np.concatenate((np.ones(min(1, len(far)), bool), far[1:] != far[:-1]))]
+    one, apart = np.uint64(1), lambda x: x + text[x] * MIN_WORDS  # places in other texts are never near
+    code = np.concatenate((numbered(short[at], apart(at)) & ~one, numbered(long[far], apart(far)) | one)).view(np.int64)
+    at = np.concatenate((at, far))
+    return code, text[at], (at - first[text[at]]).astype(np.int32)
+
+
+def seeds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word) of all places of the seeds of a text, as in seeds_of_all."""
+    code, _, word = seeds_of_all([text])
+    return code, word
 
 
 class Fenwick:
@@ -342,8 +364,9 @@ def align(a: str, b: str, fixed: list[tuple[int, int]] = ()) -> list[tuple[int,
 def _copies(docs: DataFrame) -> DataFrame:
     """(doc_id, first, words, size) of the documents of which an earlier one has the same text."""
     text = F.col("text")
-    rows = docs.select("doc_id", F.md5(text).alias("_md5"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"), F.length(text).cast("long").alias("size"))
-    return group_of_equal(rows, "_md5", "doc_id", "first").where("doc_id <> first").drop("_md5")
+    later = group_of_equal(docs.select("doc_id", F.md5(text).alias("_md5")), "_md5", "doc_id", "first").where("doc_id <> first").drop("_md5")
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words")
+    return docs.join(later, "doc_id").select("doc_id", "first", words, F.length(text).cast("long").alias("size"))
 
 
 class _Tied:
@@ -383,7 +406,7 @@ class _Tied:
         opens = np.full(n, self.open and not fresh) if not new_key.any() else (row < (np.flatnonzero(new_key)[0] if not fresh else (np.flatnonzero(new_key)[1] if new_key.sum() > 1 else n))) & (self.open or fresh)
         self.key, self.doc, self.word, self.first, self.prior = key[-1], doc[-1], word[-1], (f_doc[-1], f_word[-1]), (p_doc[-1], p_word[-1])
         self.before, self.total, self.open = int(before[-1]), int(n - head[-1] if head[-1] >= 0 else self.total + n), bool(opens[-1])
-        keep = opens | (before > 0)
+        keep = opens | ~new_key
         return [x[keep] for x in (key, doc, word, f_doc, f_word, p_doc, p_word, before, opens.astype(np.int64))]
 
     def last(self) -> list[np.ndarray]:
@@ -393,7 +416,12 @@ class _Tied:
 
 
 def tie(rows: DataFrame, name: str) -> DataFrame:
-    """(key, doc_id, word, f_doc, f_word, p_doc, p_word, before) of the `rows` (key, doc_id, word) whose key an earlier document has.
+    """(key, doc_id, word, f_doc, f_word, p_doc, p_word, before) of the `rows` (key, doc_id, word) whose key an earlier document has."""
+    return _tied_places(rows, name).where("doc_id <> f_doc")
+
+
+def _tied_places(rows: DataFrame, name: str) -> DataFrame:
+    """As tie(), and beside these the places of a key in its first document but the first, so that with f all places of a key that has several are there.
 
     f: the first place of the key. p: its last place in the document before this one, of those that have it. before: how many places of the key
     the documents before this one have (where a document's places go over several tasks, its own may count too).
@@ -439,7 +467,7 @@ def tie(rows: DataFrame, name: str) -> DataFrame:
         "key", "doc_id", "word", F.when(goes_on, F.col("_f_doc")).otherwise(F.col("f_doc")).alias("f_doc"), F.when(goes_on, F.col("_f_word")).otherwise(F.col("f_word")).alias("f_word"),
         F.when(other, prior("_doc", "_p_doc")).otherwise(F.col("p_doc")).alias("p_doc"), F.when(other, prior("_word", "_p_word")).otherwise(F.col("p_word")).alias("p_word"),
         (F.col("before") + F.when(goes_on, F.col("_places")).otherwise(F.lit(0))).alias("before"),
-    ).where("doc_id <> f_doc")
+    )
 
 
 def _lists(column: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -526,7 +554,7 @@ def _aligned(tied: DataFrame, docs: DataFrame, name: str, least: int = LEAST_WOR
     wanted = wanted[0].union(wanted[1])
     # A frequent source gives a piece once for each salt, however many chains ask for it; then they are dealt by the salt too.
     asked = wanted.select("doc_id", "lo", "hi", "salt").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "salt")).alias("asked"))
-    pieces = map_in_arrow(docs.hint("merge").join(asked, "doc_id").select("doc_id", "text", "asked"), _cut, "doc_id long, lo int, hi int, salt int, at long, piece string")
+    pieces = map_in_arrow(_only(docs, wanted).hint("merge").join(asked, "doc_id").select("doc_id", "text", "asked"), _cut, "doc_id long, lo int, hi int, salt int, at long, piece string")
     given = wanted.hint("merge").join(pieces, ["doc_id", "lo", "hi", "salt"])
     of = lambda side, c: F.first(F.when(F.col("side") == side, F.col(c)), True)
     both = given.groupBy("chain").agg(of(0, "piece").alias("a"), of(1, "piece").alias("b"), of(0, "at").alias("a_at"), of(1, "at").alias("b_at")).hint("merge").join(chained, "chain")
@@ -556,17 +584,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(numbered(whole[at], at).view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at, pa.int32())], ["key", "doc_id", "word"])
 
 
-def _holders(seeds: DataFrame, left: DataFrame, copies: DataFrame) -> DataFrame:
-    """(key, doc_id, word) of all places of the seeds `left` over, but in later copies."""
+def _holders(places: DataFrame, left: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, doc_id, word) of all places of the seeds `left` over, but in later copies; some twice. Of `places` as of _tied_places()."""
     keys = left.select("key").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = seeds.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(keys, ["key", "_salt"], "left_semi").join(copies, "doc_id", "left_anti").select("key", "doc_id", "word")
+    salted = places.select("key", "doc_id", "word", "f_doc", "f_word").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    own, first = F.struct("doc_id", "word"), F.struct(F.col("f_doc").alias("doc_id"), F.col("f_word").alias("word"))
+    return salted.join(keys, ["key", "_salt"], "left_semi").select("key", F.explode(F.array(own, first)).alias("_at")).select("key", "_at.*").join(copies, "doc_id", "left_anti").select("key", "doc_id", "word")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The `docs` that may be among the `ids` (doc_id): told by BUCKETS numbers at most, so that texts that nobody asks for aren't shuffled."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    return docs.withColumn("_bucket", bucket).join(F.broadcast(ids.select(bucket.alias("_bucket")).distinct()), "_bucket", "left_semi").drop("_bucket")
 
 
 def _exact_rest(docs: DataFrame, seeds: DataFrame, left: DataFrame, copies: DataFrame) -> DataFrame:
-    """Ties of the runs of MIN_WORDS about the seeds `left` over, among all documents that have those seeds."""
-    holders = _holders(seeds.where("key & 1 = 1"), left, copies).groupBy("doc_id").agg(F.collect_set("word").alias("places"))
-    runs = map_in_arrow(docs.hint("merge").join(holders, "doc_id").select("doc_id", "text", "places"), _runs, "key long, doc_id long, word int")
+    """Ties of the runs of MIN_WORDS about the seeds `left` over, among all documents that have those seeds (`seeds`: as of _tied_places())."""
+    holders = write_table(_holders(seeds.where("key & 1 = 1"), left, copies).groupBy("doc_id").agg(F.collect_set("word").alias("places")), "holders")
+    runs = map_in_arrow(_only(docs, holders).hint("merge").join(holders, "doc_id").select("doc_id", "text", "places"), _runs, "key long, doc_id long, word int")
     return tie(write_table(runs, "runs"), "tied-runs")
 
 
@@ -581,15 +616,16 @@ def _outside(places: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, list of key, word, later) -> of each place a byte of the hash of each word before the seed, the nearest first, and after it, REACH at most."""
+    """(doc_id, text, list of key, word, asked) -> of each place 16 bits of the hash of each word before the seed, the nearest first, and after it, REACH each, and how many words the text has."""
     for b in batches:
         fields, ends = _lists(b.column(2))
         for doc, text, lo, hi in zip(b.column(0).to_pylist(), b.column(1), ends[:-1], ends[1:]):
-            byte = (words_of(text.as_py())[2] >> np.uint64(56)).astype(np.uint8)
-            key, word, later = (f[lo:hi] for f in fields)
-            after = word + np.where(key & 1, LONG, K)
-            sides = [byte[max(0, p - REACH) : p][::-1].tobytes() for p in word.tolist()], [byte[q : q + REACH].tobytes() for q in after.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(later, pa.int32()), pa.array(np.full(len(key), doc)), pa.array(word, pa.int32()), *[pa.array(x, pa.binary()) for x in sides]], ["key", "later", "doc_id", "word", "left", "right"])
+            code = (words_of(text.as_py())[2] >> np.uint64(48)).astype(np.uint16)
+            key, word, asked = (f[lo:hi] for f in fields)
+            near, padded = np.arange(REACH), np.pad(code, REACH)
+            about = np.concatenate((padded[word[:, None] + REACH - 1 - near], padded[(word + np.where(key & 1, LONG, K))[:, None] + REACH + near]), axis=1)
+            arrays = [pa.array(key), pa.array(asked, pa.int32()), pa.array(np.full(len(key), doc)), pa.array(word, pa.int32()), pa.array(np.full(len(key), len(code)), pa.int32()), pa.array([x.tobytes() for x in about], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "asked", "doc_id", "word", "words", "about"])
 
 
 def _codes(side: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -628,58 +664,63 @@ def _may_align(a: list[np.ndarray], b: list[np.ndarray], span: int) -> np.ndarra
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, earlier and later places: lists of document, word, left, right) -> the pairs of places that may lie in a passage.
-
-    MIN_WORDS words that hold a seed hold three quarters of the rest of them in one of four ways about it, and lack no more than LACK of those about the other place. That is
-    asked first, by products of which words either has; then of all the words; then of all in their order. Words are compared by a byte of their hashes, so what is turned down has
-    too few in common for certain.
-    """
+    """(key, earlier and later places: lists of document, word, left, right) -> all pairs of places about which enough words are in common, as in _alike."""
     for b in slices(batches, 128, 1 << 20):
         (e_doc, e_word, e_sides, e_ends), (d_doc, d_word, d_sides, d_ends) = (_places(b.column(i)) for i in (1, 2))
-        span = np.where(b.column(0).to_numpy() & 1, LONG, K)
-        has = np.concatenate([_bits(*x) for x in e_sides], axis=1)
-        rest = np.repeat(MIN_WORDS - span, np.diff(d_ends))
-        ways = []
-        for quarters in range(4):  # so many on the left
-            width = rest * quarters // 4, rest * (3 - quarters) // 4
-            wanted = np.concatenate([_bits(code, np.minimum(size, w)) for (code, size), w in zip(d_sides, width)], axis=1)
-            ended = sum(np.maximum(w - size, 0) for (_, size), w in zip(d_sides, width))  # words that the text is too short for
-            ways.append((wanted, wanted.sum(1) + ended - LACK, slice(0 if quarters else 256, 512 if quarters < 3 else 256)))
-        maybe: dict[int, list] = {K: [], LONG: []}
-        for cell, size in enumerate(span.tolist()):
-            lo = e_ends[cell]
-            others, doc = has[lo : e_ends[cell + 1]].astype(np.float32), e_doc[lo : e_ends[cell + 1]]
-            for at in range(d_ends[cell], d_ends[cell + 1], 256):
-                own = slice(at, min(at + 256, d_ends[cell + 1]))
-                n = np.searchsorted(doc, d_doc[own][-1])
-                near = np.zeros((own.stop - at, n), bool)
-                for wanted, least, used in ways:
-                    near |= wanted[own, used].astype(np.float32) @ others[:n, used].T >= least[own, None]
-                d, e = np.nonzero(near)
-                before = doc[e] < d_doc[own][d]
-                maybe[size] += _in_common(d[before] + at, e[before] + lo, d_sides, has, MIN_WORDS - size)
-        for size, pairs in maybe.items():
-            d, e = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int),) * 2
-            for at in range(0, len(d), 4096):
-                i, j = d[at : at + 4096], e[at : at + 4096]
-                sides = [[np.where(np.arange(64) < length[k, None], np.pad(code[k], ((0, 0), (0, 64 - REACH))).astype(np.int16), end) for code, length in of] for of, k, end in ((d_sides, i, -1), (e_sides, j, -2))]
-                fits = _may_align(*sides, size)
-                i, j = i[fits], j[fits]
+        for cell, size in enumerate(np.where(b.column(0).to_numpy() & 1, LONG, K).tolist()):
+            e, d = slice(e_ends[cell], e_ends[cell + 1]), slice(d_ends[cell], d_ends[cell + 1])
+            for i, j in _alike(d_doc[d], [(c[d], n[d]) for c, n in d_sides], e_doc[e], [(c[e], n[e]) for c, n in e_sides], size):
+                fits = _may_align(*_signed(d_sides, i + d.start, e_sides, j + e.start), size)
+                i, j = i[fits] + d.start, j[fits] + e.start
                 yield pa.RecordBatch.from_arrays([pa.array(d_doc[i]), pa.array(d_word[i], pa.int32()), pa.array(np.full(len(i), size), pa.int32()), pa.array(e_doc[j]), pa.array(e_word[j], pa.int32())], ["doc_id", "word", "span", "f_doc", "f_word"])
 
 
-def _in_common(d: np.ndarray, e: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], has: np.ndarray, rest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The pairs d, e that may have all but LACK of `rest` words in a row about a seed in common, in any order."""
-    out = []
+def _signed(d_sides: list, i: np.ndarray, e_sides: list, j: np.ndarray) -> list[list[np.ndarray]]:
+    """The sides of the places i and j, 64 wide; -1 and -2 where a text has ended."""
+    return [[np.where(np.arange(64) < length[k, None], np.pad(code[k].astype(np.int32), ((0, 0), (0, 64 - REACH))), end) for code, length in of] for of, k, end in ((d_sides, i, -1), (e_sides, j, -2))]
+
+
+def _alike(d_doc: np.ndarray, d_sides: list, e_doc: np.ndarray, e_sides: list, span: int, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a later and an earlier place of one seed (e_doc ascends) about which, by bytes of words, enough are in common, in any order.
+
+    MIN_WORDS words that hold a seed hold three quarters of the rest of them in one of four ways about it, and lack no more than LACK of those about the other place. That is
+    asked first, by products of which words either has; then of all the words. What is turned down has too few in common for certain. With `whole`, words in common
+    must also reach over MIN_WORDS words, as a passage's do.
+    """
+    if not len(d_doc) or not len(e_doc):
+        return
+    has, rest = np.concatenate([_bits(*x) for x in e_sides], axis=1), MIN_WORDS - span
+    others, ways = has.astype(np.float32), []
+    for quarters in range(4):  # so many on the left
+        width = rest * quarters // 4, rest * (3 - quarters) // 4
+        wanted = np.concatenate([_bits(code, np.minimum(size, w)) for (code, size), w in zip(d_sides, width)], axis=1)
+        ended = sum(np.maximum(w - size, 0) for (_, size), w in zip(d_sides, width))  # words that the text is too short for
+        ways.append((wanted, wanted.sum(1) + ended - LACK, slice(0 if quarters else 256, 512 if quarters < 3 else 256)))
+    for at in range(0, len(d_doc), 256):
+        own = slice(at, min(at + 256, len(d_doc)))
+        n = np.searchsorted(e_doc, d_doc[own].max())
+        near = np.zeros((own.stop - at, n), bool)
+        for wanted, least, used in ways:
+            near |= wanted[own, used].astype(np.float32) @ others[:n, used].T >= least[own, None]
+        d, e = np.nonzero(near)
+        before = e_doc[e] < d_doc[own][d]
+        yield from _in_common(d[before] + at, e[before], d_sides, has, rest, whole)
+
+
+def _in_common(d: np.ndarray, e: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], has: np.ndarray, rest: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs d, e that may have all but LACK of `rest` words in a row about a seed in common, in any order; 8192 at most at once."""
+    width = REACH if whole else rest
     for part in range(0, len(d), 1 << 13):
         i, j = d[part : part + (1 << 13)], e[part : part + (1 << 13)]
-        held = np.zeros((2, len(i), rest + 1), np.uint8)
+        held, far = np.zeros((2, len(i), rest + 1), np.uint8), 0
         for side, (code, size) in enumerate(sides):
-            common = has[j[:, None], code[i, :rest].astype(np.int64) + 256 * side] & (np.arange(rest) < size[i, None])
-            np.cumsum(common, axis=1, out=held[side, :, 1:])
+            common = has[j[:, None], code[i, :width].astype(np.int64) + 256 * side] & (np.arange(width) < size[i, None])
+            np.cumsum(common[:, :rest], axis=1, out=held[side, :, 1:])
+            far = far + np.where(common.any(1), width - common[:, ::-1].argmax(1), 0)
         fits = (held[0] + held[1][:, ::-1]).max(axis=1) >= rest - LACK
-        out.append((i[fits], j[fits]))
-    return out
+        if whole:
+            fits &= far >= rest
+        yield i[fits], j[fits]
 
 
 def _places(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -690,32 +731,177 @@ def _places(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[tuple[np
     return doc[order], word[order], [tuple(x[order] for x in _codes(flat.field(i))) for i in (2, 3)], ends
 
 
-def _untied(docs: DataFrame, seeds: DataFrame, places: DataFrame, copies: DataFrame) -> DataFrame:
-    """Ties (doc_id, word, span, f_doc, f_word) of the seeds at `places` (key, doc_id, word) to all their places in earlier documents about which enough words are in common.
+def _reaches(left: np.ndarray, right: np.ndarray, span: int) -> np.ndarray:
+    """The best sum of a gain on the left and one on the right, given for 0, 1, 2, ... words, that with the seed make MIN_WORDS words."""
+    if not len(left):
+        return np.zeros(0)
+    best = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
+    return (left + best[:, np.clip(MIN_WORDS - span - np.arange(left.shape[1]), 0, best.shape[1] - 1)]).max(axis=1)
+
+
+def _wide(a: list[np.ndarray], b: list[np.ndarray], span: int) -> np.ndarray:
+    """Of pairs of places, as in _may_align, whether in any order enough words are in common, and in both texts reach over MIN_WORDS words."""
+    rest, reach, held = MIN_WORDS - span, [0, 0], []
+    for x, y in zip(a, b):
+        hit = x[:, :REACH, None] == y[:, None, :REACH]
+        common = [hit.any(2), hit.any(1)]
+        reach = [r + np.where(c.any(1), REACH - c[:, ::-1].argmax(1), 0) for r, c in zip(reach, common)]
+        held.append(np.pad(np.cumsum(common[0][:, :rest], axis=1), ((0, 0), (1, 0))))
+    return ((held[0] + held[1][:, ::-1]).max(axis=1) >= rest - LACK) & (reach[0] >= rest) & (reach[1] >= rest)
+
+
+def _surplus(a: list[np.ndarray], b: list[np.ndarray], span: int) -> np.ndarray:
+    """Of pairs of places, as in _may_align: how many words more than SIMILARITY asks for the best stretch of a has in common, MIN_WORDS long at least, from a word in common to another, about the seed."""
+    gains = []
+    for x, y in zip(a, b):
+        row, size = np.full(len(x), ~np.uint64(0)), np.arange(REACH + 1)
+        in_common = np.full((len(x), REACH + 1), -1e9)
+        in_common[:, 0] = 0
+        for i in range(REACH):
+            mask = np.packbits(y == x[:, i, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            below = mask.copy()
+            for step in (1, 2, 4, 8, 16, 32):
+                below |= below >> np.uint64(step)
+            below >>= np.uint64(1)  # the places before the last that is this word
+            in_common[:, i + 1] = np.where(mask != 0, np.bitwise_count(~row & below) + 1.0, -1e9)
+            u = row & mask
+            row = row + u | row - u
+        gains.append(in_common - SIMILARITY * size)
+    return _reaches(*gains, span) + (1 - SIMILARITY) * span + 1e-6
+
+
+def _shared(cell: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], span: np.ndarray) -> np.ndarray:
+    """The places about which enough pairs of words are also about another place of the cell for a passage.
+
+    Of m words in common a passage has m / 4 gaps at most, so m * 3 / 4 - 1 pairs of them follow each other in both texts; span + 1 of them touch the seed.
+    Pairs are counted by a hash, so what is turned down has too few for certain.
+    """
+    hashes, there = [], []
+    for side, (code, size) in enumerate(sides):
+        pair = code[:, :-1].astype(np.uint64) << np.uint64(16) | code[:, 1:]
+        hashes.append(_mix((pair << np.uint64(1) | np.uint64(side)) ^ cell.astype(np.uint64)[:, None] * _P))
+        there.append(np.arange(1, REACH) < size[:, None])
+    bits = max(16, int(4 * sum(map(np.sum, there))).bit_length())
+    at = [(h >> np.uint64(64 - bits)).astype(np.int64) for h in hashes]
+    count = np.bincount(np.concatenate([x[t] for x, t in zip(at, there)]), minlength=1 << bits)
+    gains = []
+    for x, t, (_, size) in zip(at, there, sides):
+        gain = np.zeros((len(x), REACH + 1))
+        gain[:, 2:] = np.cumsum((count[x] > 1) & t, axis=1)
+        gain -= 0.75 * SIMILARITY * np.arange(REACH + 1)
+        gain[np.arange(REACH + 1) > size[:, None]] = -1e9
+        gains.append(gain)
+    out = np.zeros(len(cell), bool)
+    for s in (K, LONG):
+        own = span == s
+        out[own] = _reaches(*[g[own] for g in gains], s) >= 0.75 * SIMILARITY * s - s - 2 - 1e-6
+    return out
+
 
-    All pairs of a seed's places are looked at, by bits: that grows with the square of a common line's documents. A seed's places are dealt
-    to squares of at most about BLOCK by BLOCK, so no task holds more.
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns key, row, column, later, doc_id, word, words, about of batches that are sorted by the first three, some 4096 rows at once, cells whole."""
+    def read(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [*[b.column(i).to_numpy() for i in range(7)], np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).reshape(-1, 2 * REACH)]
+
+    held, rows = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(read(b))
+        rows += b.num_rows
+        if rows < 4096:
+            continue
+        whole = [np.concatenate(x) for x in zip(*held)]
+        last = np.flatnonzero(np.any([x[:-1] != x[1:] for x in whole[:3]], axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield [x[:cut] for x in whole]
+        held, rows = [[x[cut:] for x in whole]], len(whole[0]) - cut
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Places as in _cells() -> the pairs of places that may lie in a passage; with `best`, of each later place the one that has most in common, of equal ones the first."""
+    for key, row, column, later, doc, word, words, about in _cells(batches):
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (column[1:] != column[:-1])))
+        cell, span = np.cumsum(new), np.where(key & 1, LONG, K)
+        sides = [(about[:, :REACH], np.minimum(word, REACH)), (about[:, REACH:], np.clip(words - word - span, 0, REACH))]
+        kept = np.lexsort((word, doc, cell))
+        for _ in range(3):  # what goes takes its pairs of words along
+            if len(kept):
+                kept = kept[_shared(cell[kept], [(code[kept], size[kept]) for code, size in sides], span[kept])]
+        ends = np.flatnonzero(np.concatenate(([True], np.diff(cell[kept]) != 0, [True]))) if len(kept) else np.zeros(1, int)
+        pairs: dict[int, list] = {K: [], LONG: []}
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            own = kept[lo:hi]
+            d, e = own[later[own] > 0], own[later[own] < 2]  # 0: earlier, 1: both, 2: later
+            if not len(d) or not len(e) or doc[e[0]] >= doc[d[-1]]:
+                continue
+            size = int(span[own[0]])
+            for x, y in _alike(doc[d], [((c[d] >> 8).astype(np.uint8), n[d]) for c, n in sides], doc[e], [((c[e] >> 8).astype(np.uint8), n[e]) for c, n in sides], size, True):
+                pairs[size].append((d[x], e[y]))
+        for size, some in pairs.items():
+            if not some:
+                continue
+            d, e = (np.concatenate(x) for x in zip(*some))
+            found = []
+            for at in range(0, len(d), 2048):
+                x, y = d[at : at + 2048], e[at : at + 2048]
+                both = _signed(sides, x, sides, y)
+                wide = np.flatnonzero(_wide(*both, size))
+                more = _surplus(*[[side[wide] for side in of] for of in both], size)
+                fits = more >= 0
+                found.append((x[wide[fits]], y[wide[fits]], more[fits]))
+            x, y, more = (np.concatenate(f) for f in zip(*found))
+            if best and len(x):
+                order = np.lexsort((word[y], doc[y], -more, x))
+                order = order[np.concatenate(([True], np.diff(x[order]) != 0))]
+                x, y, more = x[order], y[order], more[order]
+            if len(x):
+                arrays = [pa.array(key[x]), pa.array(doc[x]), pa.array(word[x], pa.int32()), pa.array(np.full(len(x), size), pa.int32()), pa.array(doc[y]), pa.array(word[y], pa.int32()), pa.array(more)]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "word", "span", "f_doc", "f_word", "more"])
+
+
+def _places_about(docs: DataFrame, seeds: DataFrame, places: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, asked, doc_id, word, words, about) of all places of the seeds at `places` (key, doc_id, word), those `places` asked; later copies have none that aren't."""
+    both = _holders(seeds, places, copies).withColumn("asked", F.lit(0)).union(places.select("key", "doc_id", "word", F.lit(1))).groupBy("key", "doc_id", "word").agg(F.max("asked").alias("asked"))
+    asked = write_table(both.groupBy("doc_id").agg(F.collect_list(F.struct("key", "word", "asked")).alias("places")), "asked")  # bounded by the document's length
+    schema = "key long, asked int, doc_id long, word int, words int, about binary"
+    return write_table(map_in_arrow(_only(docs, asked).hint("merge").join(asked, "doc_id").select("doc_id", "text", "places"), _about, schema), "about")
+
+
+def _untied(about: DataFrame, best: bool) -> DataFrame:
+    """Ties (key, doc_id, word, span, f_doc, f_word) of the places `about` that are asked to those of the same seed in earlier documents that may lie in a passage with them: all, or the best.
+
+    All pairs of a seed's places are looked at that share enough pairs of words with any: at worst that grows with the square of a common line's documents. A seed's
+    places are dealt to squares of at most about BLOCK by BLOCK, so no task holds more.
     """
-    both = _holders(seeds, places, copies).withColumn("later", F.lit(0)).union(places.select("key", "doc_id", "word", F.lit(1)))
-    asked = both.groupBy("doc_id").agg(F.collect_list(F.struct("key", "word", "later")).alias("places"))  # bounded by the document's length
-    schema = "key long, later int, doc_id long, word int, left binary, right binary"
-    about = write_table(map_in_arrow(docs.hint("merge").join(asked, "doc_id").select("doc_id", "text", "places"), _about, schema), "about")
-    large = about.where("later = 0").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1")  # a row for each BLOCK places at most
-    dealt = about.join(F.broadcast(large), "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    dealt = dealt.withColumns({"_own": F.pmod(F.xxhash64("doc_id", "word"), F.col("n")).cast("int"), "_other": F.explode(F.sequence(F.lit(0), F.col("n") - 1))})
-    row, column = (F.when(F.col("later") == i, F.col("_own")).otherwise(F.col("_other")) for i in (0, 1))
-    of = lambda i: F.collect_list(F.when(F.col("later") == i, F.struct("doc_id", "word", "left", "right")))
-    squares = dealt.withColumns({"_row": row, "_column": column}).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "_row", "_column").groupBy("key", "_row", "_column").agg(of(0).alias("earlier"), of(1).alias("afterwards"))
-    return write_table(map_in_arrow(squares.select("key", "earlier", "afterwards"), _compare, "doc_id long, word int, span int, f_doc long, f_word int"), "untied")
+    large = about.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1")  # a row for each BLOCK places at most
+    dealt = about.join(F.broadcast(large), "key", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("doc_id", "word"), F.col("n")).cast("int"))
+    one = F.array(F.struct(F.lit(0).alias("_row"), F.lit(0).alias("_column"), F.col("asked").alias("later")))
+    others = F.sequence(F.lit(0), F.col("n") - 1)
+    earlier = F.transform(others, lambda i: F.struct(F.col("_own").alias("_row"), i.alias("_column"), F.lit(0).alias("later")))
+    later = F.transform(others, lambda i: F.struct(i.alias("_row"), F.col("_own").alias("_column"), F.lit(2).alias("later")))
+    squares = F.when(F.col("n") == 1, one).when(F.col("asked") == 1, F.concat(earlier, later)).otherwise(earlier)
+    rows = dealt.withColumn("_at", F.explode(squares)).select("key", "_at._row", "_at._column", "_at.later", "doc_id", "word", "words", "about")
+    cells = ["key", "_row", "_column"]
+    sorted_rows = rows.repartition(int(about.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cells).sortWithinPartitions(*cells)
+    schema = "key long, doc_id long, word int, span int, f_doc long, f_word int, more double"
+    found = map_in_arrow(sorted_rows, lambda batches: _candidates(batches, best), schema, rows=4096)
+    if best:  # of all squares
+        found = found.groupBy("key", "doc_id", "word", "span").agg(F.max_by(F.struct("f_doc", "f_word"), F.struct("more", -F.col("f_doc"), -F.col("f_word"))).alias("f")).select("key", "doc_id", "word", "span", "f.f_doc", "f.f_word")
+    return write_table(found.select("key", "doc_id", "word", "span", "f_doc", "f_word"), "untied")
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [seeds_of(t.as_py()) for t in b.column(1)]
-        sizes = [len(g[0]) for g in got]
-        if sum(sizes):
-            doc = np.repeat(b.column(0).to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[0] for g in got])), pa.array(doc), pa.array(np.concatenate([g[1] for g in got]))], ["key", "doc_id", "word"])
+        texts = b.column(1).to_pylist()
+        part = np.cumsum([len(t) for t in texts]) >> 18  # about so many characters at once
+        for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
+            code, text, word = seeds_of_all([texts[i] for i in at])
+            if len(code):
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(b.column(0).to_numpy()[at][text]), pa.array(word)], ["key", "doc_id", "word"])
 
 
 def find_passages(docs: DataFrame) -> DataFrame:
@@ -742,22 +928,29 @@ def _passages(docs: DataFrame) -> DataFrame:
     copies = write_table(_copies(docs), "copies")
     later = copies.select("doc_id").distinct()
     seeds = write_table(map_in_arrow(docs, _seeds, "key long, doc_id long, word int"), "seeds")
-    ties = tie(seeds, "tied")
-    tied = ties.join(later, "doc_id", "left_anti")
+    ties = _tied_places(seeds, "tied")
+    drop_table(seeds)
+    tied = ties.where("doc_id <> f_doc").join(later, "doc_id", "left_anti")
     span = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.lit(LONG)).otherwise(F.lit(K))
     found = _aligned(tied.withColumn("span", span), docs, "passages")
     left = write_table(_left_over(tied, found), "left-over")
     places = write_table(_outside(tied.where(UNTIED), found), "places")
-    drop_table(ties)
-    rest = _exact_rest(docs, seeds, left, later)
+    rest = _exact_rest(docs, ties, left, later)
     none = F.lit(None)
     more = _aligned(rest.withColumns({"span": F.lit(MIN_WORDS), "p_doc": none.cast("long"), "p_word": none.cast("int")}), docs, "more-passages")
-    untied = _untied(docs, seeds, write_table(_outside(places, more), "places"), later)
-    for used in (seeds, left, rest):
+    about = _places_about(docs, ties, write_table(_outside(places, more), "places"), later)
+    for used in (ties, left, rest):
         drop_table(used)
-    last = _aligned(untied.withColumns({"p_doc": none.cast("long"), "p_word": none.cast("int")}), docs, "last-passages", K)
+    alone = {"p_doc": none.cast("long"), "p_word": none.cast("int")}
+    first = _untied(about, True)
+    best = _aligned(first.drop("key").withColumns(alone), docs, "best-passages", K)
+    # Where a place's best match is in no passage, all others are tried.
+    open_places = _outside(first.select("key", "doc_id", "word"), best).withColumn("again", F.lit(1))
+    again = about.join(open_places.select("key").distinct(), "key", "left_semi").join(open_places, ["key", "doc_id", "word"], "left").withColumn("asked", F.coalesce("again", F.lit(0))).drop("again")
+    second = _untied(again.select(*about.columns), False)
+    last = _aligned(second.drop("key").withColumns(alone), docs, "last-passages", K)
     zero = F.lit(0).cast("long")
-    return found.union(more).union(last).drop("w0", "w1").distinct().union(copies.where(F.col("words") >= MIN_WORDS).select("doc_id", zero, "size", "first", zero, "size", "words", F.lit(1.0)))
+    return found.union(more).union(best).union(last).drop("w0", "w1").distinct().union(copies.where(F.col("words") >= MIN_WORDS).select("doc_id", zero, "size", "first", zero, "size", "words", F.lit(1.0)))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:

@@ -487,3 +487,43 @@ def test_what_may_align_loses_no_pair():
     a, b = r.integers(0, 6, (50, 30)), r.integers(0, 6, (50, 64))
     lengths = substring._common_lengths(a, b)
     assert all(lengths[i, n] == len(substring._common(a[i, :n].tolist(), b[i].tolist())[0]) for i in range(50) for n in (1, 8, 30))
+
+
+def test_a_family_of_edited_passages_makes_one_candidate_a_place(spark, monkeypatch):
+    """Of n documents that have an edited passage each place is tied to its best match only, not to all n; each document's passage is found all the same."""
+    r = random.Random(21)
+    make = lambda n: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n)]
+    base, sizes, untied = make(70), [], substring._untied
+    edited = lambda at: [make(1)[0] if i % 10 == at else w for i, w in enumerate(base)]
+    texts = [(i, " ".join(make(60) + edited(r.randrange(10)) + make(60))) for i in range(40)]
+    monkeypatch.setattr(substring, "_untied", lambda *a: sizes.append((out := untied(*a)).count()) or out)
+    seeds = {(k, i) for i, t in texts for k in substring.seeds_of(t)[0].tolist()}
+    found = substring.find_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {f.doc_id for f in found} == set(range(1, 40))
+    assert sum(sizes) <= len(seeds)
+
+
+def test_places_are_tied_to_their_best_match():
+    """_candidates: of each place one pair, that with most in common; or all pairs. Runs of 49 words in common are none."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    other = lambda n: r.integers(1, 1 << 16, n).astype(np.uint16)
+    near = other(2 * substring.REACH)
+    short, edited = near.copy(), near.copy()
+    short[24 : substring.REACH], short[substring.REACH + 21 :] = other(substring.REACH - 24), other(substring.REACH - 21)  # 24 + 4 + 21 words
+    edited[[3, 70]] = other(2)
+    rows = [(1, short), (2, edited), (3, near), (4, near)]
+    arrays = [pa.array([8] * 4), pa.array([0] * 4), pa.array([0] * 4), pa.array([0, 0, 0, 1], pa.int32()), pa.array([i for i, _ in rows]), pa.array([200] * 4, pa.int32()), pa.array([500] * 4, pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(arrays, ["key", "_row", "_column", "later", "doc_id", "word", "words", "about"])
+    of = lambda best: [(x["doc_id"], x["f_doc"]) for b in substring._candidates(iter([batch]), best) for x in b.to_pylist()]
+    assert of(True) == [(4, 3)] and sorted(of(False)) == [(4, 2), (4, 3)]
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    r = random.Random(8)
+    texts = ["", " \n", "a b"] + [" ".join(r.choice(["ou", "é", f"w{r.randrange(40)}"]) for _ in range(r.choice([3, 49, 50, 51, 300]))) for _ in range(30)]
+    code, text, word = substring.seeds_of_all(texts)
+    for i, t in enumerate(texts):
+        assert sorted(zip(code[text == i].tolist(), word[text == i].tolist())) == sorted(zip(*[x.tolist() for x in substring.seeds_of(t)]))
+    assert set(text.tolist()) == {i for i, t in enumerate(texts) if len(t.split()) >= substring.MIN_WORDS}
