@@ -842,9 +842,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Re
             for x, y in _alike(doc[d], [((c[d] >> 8).astype(np.uint8), n[d]) for c, n in sides], doc[e], [((c[e] >> 8).astype(np.uint8), n[e]) for c, n in sides], size, True):
                 pairs[size].append((d[x], e[y]))
         for size, some in pairs.items():
-            if not some:
+            d, e = (np.concatenate(x) for x in zip(*some)) if some else (np.zeros(0, int),) * 2
+            if not len(d):
                 continue
-            d, e = (np.concatenate(x) for x in zip(*some))
             found = []
             for at in range(0, len(d), 2048):
                 x, y = d[at : at + 2048], e[at : at + 2048]

@@ -513,11 +513,16 @@ def test_places_are_tied_to_their_best_match():
     short, edited = near.copy(), near.copy()
     short[24 : substring.REACH], short[substring.REACH + 21 :] = other(substring.REACH - 24), other(substring.REACH - 21)  # 24 + 4 + 21 words
     edited[[3, 70]] = other(2)
+    def of(best: bool, *rows: tuple[int, np.ndarray]) -> list[tuple[int, int]]:
+        n = len(rows)
+        later = pa.array([*[0] * (n - 1), 1], pa.int32())
+        arrays = [pa.array([8] * n), pa.array([0] * n), pa.array([0] * n), later, pa.array([i for i, _ in rows]), pa.array([200] * n, pa.int32()), pa.array([500] * n, pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())]
+        batch = pa.RecordBatch.from_arrays(arrays, ["key", "_row", "_column", "later", "doc_id", "word", "words", "about"])
+        return sorted((x["doc_id"], x["f_doc"]) for b in substring._candidates(iter([batch]), best) for x in b.to_pylist())
+
     rows = [(1, short), (2, edited), (3, near), (4, near)]
-    arrays = [pa.array([8] * 4), pa.array([0] * 4), pa.array([0] * 4), pa.array([0, 0, 0, 1], pa.int32()), pa.array([i for i, _ in rows]), pa.array([200] * 4, pa.int32()), pa.array([500] * 4, pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())]
-    batch = pa.RecordBatch.from_arrays(arrays, ["key", "_row", "_column", "later", "doc_id", "word", "words", "about"])
-    of = lambda best: [(x["doc_id"], x["f_doc"]) for b in substring._candidates(iter([batch]), best) for x in b.to_pylist()]
-    assert of(True) == [(4, 3)] and sorted(of(False)) == [(4, 2), (4, 3)]
+    assert of(True, *rows) == [(4, 3)] and of(False, *rows) == [(4, 2), (4, 3)]
+    assert of(True, rows[0], rows[3]) == of(True, rows[3]) == []
 
 
 def test_seeds_of_many_texts_are_those_of_each():
